@@ -32,7 +32,7 @@ def lines_of_html(html: str) -> Column:
     t = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
     t = F.regexp_replace(t, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
     t = F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", ""), r"[\x20\x09\x0B-\x0D]+", " ")
-    return F.array_remove(F.transform(F.split(t, "\n"), F.trim), "")
+    return F.array_remove(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), "")
 
 
 def drop_boilerplate(pages: DataFrame, lines: Column, host: Column, page_id: str = "page_id", ratio: float = 0.3, min_pages: int = 3) -> DataFrame:
