@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, stored
+from .common import SPACE, bound_arrow, stored
 
-SPACE = r"[\x20\x09-\x0D]+"
 MEMTABLE = 100_000
 RANGE_ROWS = 400_000
 #: Up to so many digests of hits (16 bytes each) are broadcast; more are joined by shuffling.

@@ -34,10 +34,11 @@ from .common import bound_arrow, crc_mod, stored
 
 BLOCK_BYTES = 8_000_000
 WORDS_KEPT = 300_000
-#: The last two bits of a key tell its kind.
+#: A key is 56 bits of a hash; the byte below tells its kind.
 UNIGRAM, BIGRAM, BEGIN = 0, 1, 2
-END_KEY = np.uint64(xxhash.xxh64_intdigest(b"\x00end")) & ~np.uint64(3)
-BEGIN_KEY = np.uint64(xxhash.xxh64_intdigest(b"\x00begin")) & ~np.uint64(3) | np.uint64(BEGIN)
+HIGH = np.uint64(0xFFFFFFFFFFFFFF00)
+END_KEY = np.uint64(xxhash.xxh64_intdigest(b"\x00end")) & HIGH
+BEGIN_KEY = np.uint64(xxhash.xxh64_intdigest(b"\x00begin")) & HIGH | np.uint64(BEGIN)
 #: Held-out counts are gathered on a grid: buckets x STEPS steps an octave of both ratios.
 STEPS, BUCKETS = 8, 40
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -47,7 +48,7 @@ class WordKeys(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > WORDS_KEPT:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word) & ~3
+        value = self[word] = xxhash.xxh64_intdigest(word) & int(HIGH)
         return value
 
 
@@ -79,7 +80,7 @@ class Block:
         flat = np.fromiter((k for w in words for k in (*map(keys.__getitem__, w), int(END_KEY))), np.uint64, int(self.lengths.sum()))
         context = np.r_[BEGIN_KEY, flat[:-1]].astype(np.uint64)
         context[self.starts] = BEGIN_KEY
-        pair = _mixed(_mixed(context) + flat) & ~np.uint64(3) | np.uint64(BIGRAM)
+        pair = _mixed(_mixed(context) + flat) & HIGH | np.uint64(BIGRAM)
         every = np.concatenate([flat, pair, np.full(len(texts), BEGIN_KEY, np.uint64)])
         self.keys, at = np.unique(every, return_inverse=True)
         n = len(flat)
@@ -119,7 +120,8 @@ def token_counts(docs: DataFrame, modulus: int, held: int, doc_id: str, text: st
     def ask(table: pa.Table) -> pa.Table:
         b = Block(table.column("text").to_pylist())
         train, rest = masks(table)
-        of_all, of_rest = b.counts(train), b.counts(rest)
+        of_all = b.counts(train)
+        of_held = of_all - b.counts(rest)
         part = _range_of(b.keys, ranges)
         cuts = np.searchsorted(part, np.arange(ranges + 1))
         number = table.column("block")[0].as_py()
@@ -128,7 +130,7 @@ def token_counts(docs: DataFrame, modulus: int, held: int, doc_id: str, text: st
             i, j = int(cuts[p]), int(cuts[p + 1])
             if i < j:
                 k = b.keys[i:j]
-                row = (p, number, j - i, squeeze(np.diff(k, prepend=np.uint64(0))), squeeze(np.concatenate([of_all[i:j], of_rest[i:j]])))
+                row = (p, number, j - i, squeeze(np.diff(k, prepend=np.uint64(0))), squeeze(np.concatenate([of_all[i:j], of_held[i:j]])))
                 for held_, x in zip(out, row, strict=True):
                     held_.append(x)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -142,8 +144,9 @@ def token_counts(docs: DataFrame, modulus: int, held: int, doc_id: str, text: st
         total = [np.bincount(at, weights=c, minlength=len(distinct)).astype(np.int64) for c in counts]
         ends = np.cumsum(n)[:-1]
         out = [[squeeze(np.concatenate(x))] for x in zip(*(np.split(t[at], ends) for t in total), strict=True)]
-        word, begin = distinct & np.uint64(3) == UNIGRAM, distinct == BEGIN_KEY
-        stats = np.array([x for t in total for x in (t[word].sum(), (t[word] > 0).sum(), t[begin].sum())])
+        word, begin = distinct & np.uint64(255) == UNIGRAM, distinct == BEGIN_KEY
+        without = [total[0], total[0] - total[1]]
+        stats = np.array([x for t in without for x in (t[word].sum(), (t[word] > 0).sum(), t[begin].sum())])
         part = table.column("part")[0].as_py()
         return pa.table({
             "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "part": pa.array([part] * (len(n) + 1), pa.int64()),
@@ -158,6 +161,7 @@ def token_counts(docs: DataFrame, modulus: int, held: int, doc_id: str, text: st
         order = np.argsort(answers.column("part").to_numpy())
         n, data = answers.column("n").to_pylist(), answers.column("total").to_pylist()
         total = np.concatenate([expand(data[i], 2 * n[i]).reshape(2, n[i]) for i in order], axis=1)
+        total[1] = total[0] - total[1]
         mod_ = texts.column("mod").to_numpy()
         out = []
         for m, i, k in zip(mod_, b.starts, b.lengths, strict=True):

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import SPACE, stored
 
 #: At most so many times is a document taken.
 REPEATS = 3
@@ -31,8 +31,12 @@ MOST_BLOCK = 256
 BROADCAST_DOCS = 100_000
 
 
+def words_of(text: str) -> Column:
+    return F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), "")
+
+
 def words_in(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.size(words_of(text)).cast("long")
 
 
 def apportion(parties: DataFrame, group: str, party: str, weight: str, seats: str) -> DataFrame:
@@ -128,7 +132,7 @@ def mixed_documents(docs: DataFrame, seed: int = 42, doc_id: str = "doc_id", tex
     side = F.broadcast(how) if how.count() <= BROADCAST_DOCS else how
     d = docs.join(side, docs[doc_id].eqNullSafe(F.col("_mix_id")))
     full, m = F.col(text), F.col("_mix")
-    words = F.regexp_extract_all(full, F.lit(WORD), F.lit(0))
+    words = words_of(text)
 
     def part(start: Column, n: Column) -> Column:
         cut = F.array_join(F.slice(words, start + 1, n), " ")

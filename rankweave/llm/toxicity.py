@@ -86,14 +86,18 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield places, np.concatenate(hashed, axis=1).astype(np.int64), np.concatenate(weight)
 
 
-def kernel_sums(texts: list[str], vectors: np.ndarray) -> np.ndarray:
-    """Normalised products of each text's feature vector with the columns of ``vectors``."""
+def kernel_sums(texts: list[str], vectors: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """Normalised products of each text's feature vector with the columns of ``vectors``.
+
+    ``place``: the row of ``vectors`` for each hashed feature (row 0: none); without it
+    features are the rows.
+    """
     out = np.zeros((len(texts), vectors.shape[1]))
     for places, h, w in features(texts):
         norm = np.sqrt((w * w).sum()) or 1.0
-        for at in range(0, len(places), 512):
-            part = vectors[h[at : at + 512]]
-            out[places[at : at + 512]] = (w @ part) / norm  # (f) x (t, f, v)
+        for at in range(0, len(places), 128):
+            rows = h[at : at + 128]
+            out[places[at : at + 128]] = (w @ vectors[rows if place is None else place[rows]]) / norm  # (f) x (t, f, v)
     return out
 
 
@@ -117,35 +121,42 @@ class Machine:
         self.weights, self.bias, self.curve = np.zeros(1 << BITS), -1.0, np.array([-20.0, 0.0, 0.0])
         if {y for _, y in rows} != {0, 1}:
             return
-        docs = [(self.tokens(t), y) for t, y in rows]
-        seen = {1: Counter(), 0: Counter()}
-        for sentences, y in docs:
-            seen[y].update({s for x in sentences for t in x for s in strings(t)})
-        number = {k: sum(y == k for _, y in docs) for k in (0, 1)}
+        seen, number = {1: Counter(), 0: Counter()}, Counter(y for _, y in rows)
+        bags: list[list[str]] = []  # of toxic documents; of clean ones only counts are kept
+        name: dict[str, str] = {}
+        for text, y in rows:
+            held = {name.setdefault(s, s) for x in self.tokens(text) for t in x for s in strings(t)}
+            seen[y].update(held)
+            if y == 1 and held:
+                bags.append(sorted(held))
         toxic, clean = seen[1], seen[0]
         rate = {s: np.log((n + 0.3) / (number[1] + 1)) - np.log((clean[s] + 0.3) / (number[0] + 1)) for s, n in toxic.items()}
         telling = sorted(toxic, key=lambda s: (-rate[s] * np.sqrt(toxic[s]), s))
         usual = [s for s, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
         landmarks = list(dict.fromkeys(telling[: LANDMARKS * 3 // 4] + usual[: LANDMARKS // 4]))
-        vectors = np.zeros((1 << BITS, len(landmarks)), np.float32)
-        for places, h, w in features(landmarks):
+        # only features of landmarks matter here: a row for each, and row 0 for all others
+        parts = list(features(landmarks))
+        used = np.unique(np.concatenate([h.ravel() for _, h, _ in parts]))
+        place = np.zeros(1 << BITS, np.int32)
+        place[used] = np.arange(1, len(used) + 1)
+        vectors = np.zeros((len(used) + 1, len(landmarks)), np.float32)
+        for places, h, w in parts:
             for i, row in zip(places, h, strict=True):
-                np.add.at(vectors[:, i], row, w / (np.sqrt((w * w).sum()) or 1.0))
-        gram = kernel_sums(landmarks, vectors)
+                np.add.at(vectors[:, i], place[row], w / (np.sqrt((w * w).sum()) or 1.0))
+        vectors[0] = 0
+        gram = kernel_sums(landmarks, vectors, place)
         value, base = np.linalg.eigh((gram + gram.T) / 2)
         good = value > 1e-6 * value.max()
         nystrom = base[:, good] / np.sqrt(value[good])
 
         def mapped(texts: list[str]) -> np.ndarray:
-            z = kernel_sums(texts, vectors) @ nystrom
+            z = kernel_sums(texts, vectors, place) @ nystrom
             return np.concatenate([z, np.ones((len(texts), 1))], axis=1)
 
         negatives = usual[: CLEAN_STRINGS // 2] + sorted(usual[CLEAN_STRINGS // 2 :], key=lambda s: hash_of(s))[: CLEAN_STRINGS // 2]
         x0 = mapped(negatives)
-        bags = [sorted({s for x in sentences for t in x for s in strings(t)}) for sentences, y in docs if y == 1]
-        bags = [b for b in bags if b]
         every = sorted({s for b in bags for s in b})
-        place = {s: i for i, s in enumerate(every)}
+        number_of = {s: i for i, s in enumerate(every)}
         # strings of several toxic documents and hardly any clean one are taken as they are
         pure = {s for s in every if toxic[s] >= 3 and rate[s] >= PURE}
         score = rate
@@ -160,10 +171,10 @@ class Machine:
             cost = np.r_[np.full(len(negatives), 1.0), many / many.sum() * len(negatives) / 2]
             solved = squared_hinge(x, y, cost)
             beta = nystrom @ solved[:-1]
-            self.weights, self.bias = vectors @ beta.astype(np.float32), float(solved[-1])
+            self.weights[used], self.bias = (vectors @ beta.astype(np.float32))[1:], float(solved[-1])
             margin = self.margins(every)
             # a string that clean documents hold as well tells less, whatever its letters
-            score = {s: margin[i] + min(0.0, rate[s]) for s, i in place.items()}
+            score = {s: margin[i] + min(0.0, rate[s]) for s, i in number_of.items()}
         evidence = self.evidence([t for t, _ in rows], {})
         label = np.array([y for _, y in rows], float)
         self.curve = logistic(evidence, label)
