@@ -27,8 +27,6 @@ from .common import SPACE, stored
 REPEATS = 3
 SHARD_DOCS = 512
 MOST_BLOCK = 256
-#: Up to so many rows of the plan (about 60 bytes each) are broadcast; more are shuffled.
-BROADCAST_DOCS = 100_000
 
 
 def words_of(text: str) -> Column:
@@ -129,8 +127,7 @@ def mixed_documents(docs: DataFrame, seed: int = 42, doc_id: str = "doc_id", tex
     """
     how = mix(docs, seed, doc_id, text, source).groupBy("doc_id").agg(F.min(F.struct("size", "passes", "more", "more_at", "head")).alias("_mix"))
     how = stored(how.select(F.col("doc_id").alias("_mix_id"), "_mix"), "mixed")
-    side = F.broadcast(how) if how.count() <= BROADCAST_DOCS else how
-    d = docs.join(side, docs[doc_id].eqNullSafe(F.col("_mix_id")))
+    d = docs.join(how, docs[doc_id].eqNullSafe(F.col("_mix_id")))
     full, m = F.col(text), F.col("_mix")
     words = words_of(text)
 
