@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import uniform_bin
 from . import sparse
+from .storage import cut
 
 
 def depth_for(labels: int, size: int = 100) -> int:
@@ -28,14 +29,6 @@ def split(scored: DataFrame) -> DataFrame:
     return scored.withColumn("_r", right).select("i", (F.col("node") * 2 + F.col("_r")).alias("node"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        context.setCheckpointDir(named)
-    return df.checkpoint()
-
-
 def two_means(m: DataFrame, depth: int, spherical: bool = True, max_iter: int = 20) -> DataFrame:
     """(i, code) by balanced 2-means; the first centres are a node's largest and smallest label."""
     m = sparse.row_l2(m) if spherical else m
@@ -48,7 +41,7 @@ def two_means(m: DataFrame, depth: int, spherical: bool = True, max_iter: int =
         was = None
         for _ in range(max_iter):
             s = nodes.join(m, "i").join(toward, ["node", "j"]).groupBy("i").agg(F.sum(F.col("v") * F.col("d")).alias("score"))
-            halves = _cut(split(nodes.join(s, "i", "left").select("i", "node", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))))
+            halves = cut(split(nodes.join(s, "i", "left").select("i", "node", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))))
             if was is not None and halves.join(was, ["i", "node"], "left_anti").isEmpty():
                 break
             was = halves

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import combine, transform
 from . import sparse
+from .storage import cut
 
 
 def top_k(m: DataFrame, k: int, by: str = "i", tie: str = "j") -> DataFrame:
@@ -93,7 +94,9 @@ def beam_search(x: DataFrame, chain: Sequence[tuple[DataFrame, DataFrame | None]
         if found is None:
             found = score_labels(x, w, None, w.select("label").distinct(), post, size)
         else:
-            found = score_labels(x, w, expand_codes(found.select("i", F.col("j").alias("code"), "v"), codes), None, post, size)
+            # each layer reads the one above twice: cut, so that deep chains stay linear
+            matched = cut(found.select("i", F.col("j").alias("code"), "v"))
+            found = score_labels(x, w, expand_codes(matched, codes), None, post, size)
     return found
 
 
