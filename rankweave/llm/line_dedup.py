@@ -19,8 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 BLOCK_TAGS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul"
 
+#: Up to so many dropped lines of all hosts (about 40 bytes each) are broadcast; with more,
+#: hosts are salted and joined by shuffling.
+BROADCAST_LINES = 200_000
+SALTS = 16
+
 
 def host_of(url: str) -> Column:
     found = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
@@ -38,15 +45,20 @@ def lines_of_html(html: str) -> Column:
 def drop_boilerplate(pages: DataFrame, lines: Column, host: Column, page_id: str = "page_id", ratio: float = 0.3, min_pages: int = 3) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, text) for each row; ``lines`` is an array column."""
     base = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), lines.alias("lines"))
-    digests = F.transform(F.array_distinct("lines"), lambda x: F.unhex(F.md5(x)))
-    # the digest x'' stands for the page itself and counts the host's pages
-    each = base.select("host", F.explode(F.concat(F.array(F.lit(b"")), digests)).alias("line"))
-    counts = each.groupBy("host", "line").agg(F.count("*").alias("n"))
-    whole = counts.where(F.octet_length("line") == 0).select("host", F.col("n").alias("of"))
-    frequent = counts.where((F.octet_length("line") > 0) & (F.col("n") >= min_pages)).join(whole, "host").where(F.col("n") / F.col("of") > ratio)
-    dropped = frequent.groupBy("host").agg(F.collect_list("line").alias("gone"))
-    out = base.join(dropped, "host", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<binary>")))
-    kept = F.filter("lines", lambda x: ~F.array_contains(F.col("gone"), F.unhex(F.md5(x))))
+    # 96 bits tell a host's lines apart; (0, null) stands for the page itself and counts pages
+    own = F.struct(F.lit(0).cast("long").alias("h"), F.lit(None).cast("int").alias("g"))
+    each = F.concat(F.array(own), F.transform(F.array_distinct("lines"), lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"))))
+    counts = base.select("host", F.explode(each).alias("line")).groupBy("host", "line.h", "line.g").agg(F.count("*").alias("n"))
+    whole = counts.where("g is null").select("host", F.col("n").alias("of"))
+    frequent = counts.where(F.col("g").isNotNull() & (F.col("n") >= min_pages)).join(whole, "host").where(F.col("n") / F.col("of") > ratio)
+    frequent = stored(frequent.select("host", "h"), "frequent")
+    dropped = frequent.groupBy("host").agg(F.collect_set("h").alias("gone"))
+    if frequent.count() <= BROADCAST_LINES:
+        out = base.join(F.broadcast(dropped), "host", "left")
+    else:
+        salted = dropped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = base.withColumn("salt", F.pmod(F.hash("page_id", F.size("lines")), F.lit(SALTS))).join(salted, ["host", "salt"], "left")
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("gone", F.xxhash64(x))))
     out = out.withColumn("kept", kept)
     return out.select(
         "page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),

@@ -13,12 +13,11 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rankweave.llm import lm_scoring, near_dedup, toxicity
+from rankweave.llm import line_dedup, lm_scoring, near_dedup, toxicity
 from rankweave.llm.common import components
 from rankweave.llm.decontamination import decontaminate
 from rankweave.llm.exact_dedup import exact_dedup
 from rankweave.llm.language_id import identify
-from rankweave.llm.line_dedup import drop_boilerplate
 from rankweave.llm.mixing import apportion, mix, mixed_documents
 from rankweave.llm.sharding import shard_documents
 from rankweave.llm.token_counts import count_tokens
@@ -150,10 +149,12 @@ def test_exact_dedup(spark, rows, digits):
     assert exact_dedup(frame(spark, [])).isEmpty()
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_line_dedup(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
     pages = [(k, "h", ["menu", f"own {k}", "menu"] + (["some"] if k < 2 else [])) for k in range(6)] + [(9, "solo", ["menu"]), (10, "h", []), (None, "", [])]
     p = spark.createDataFrame(pages, "page_id long, host string, lines array<string>")
-    got = {r["page_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in drop_boilerplate(p, F.col("lines"), F.col("host")).collect()}
+    got = {r["page_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.drop_boilerplate(p, F.col("lines"), F.col("host")).collect()}
     assert got[0] == (4, 2, "own 0\nsome") and got[5] == (3, 2, "own 5") and got[9] == (1, 0, "menu") and got[10] == (0, 0, "") and got[None] == (0, 0, "")
 
 
