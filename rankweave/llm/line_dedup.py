@@ -36,9 +36,9 @@ def host_of(url: str) -> Column:
 
 def lines_of_html(html: str) -> Column:
     """Visible text, a line for each block element; white space collapsed, no empty lines."""
-    t = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
+    t = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>)", "")
     t = F.regexp_replace(t, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
-    t = F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", ""), r"[\x20\x09\x0B-\x0D]+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", ""), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
     return F.array_remove(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), "")
 
 
