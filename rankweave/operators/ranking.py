@@ -79,7 +79,9 @@ def score_labels(x: DataFrame, w: DataFrame, candidates: DataFrame | None, label
     value, joint = transform(post), combine(post)
     if candidates is None:
         frame = x.select("i").distinct().crossJoin(F.broadcast(labels.select("label")))
-        scored = sparse.masked_dot(frame, x, w).withColumn("v", value(F.col("v")))
+        # all pairs are wanted: only overlapping ones are summed, and the frame adds the rest
+        hits = x.join(w, "j").groupBy("i", "label").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+        scored = frame.join(hits, ["i", "label"], "left").withColumn("v", value(F.coalesce("v", F.lit(0.0))))
     else:
         scored = sparse.masked_dot(candidates.select("i", "label"), x, w).join(candidates, ["i", "label"])
         scored = scored.withColumn("v", joint(value(F.col("v")), F.col("parent")))
