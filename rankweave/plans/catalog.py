@@ -564,14 +564,32 @@ def i8_balanced_ordinal(spark, sf):
     return clustering.generate(gridded(spark, sf), 2, 3, clustering.ORDINAL)
 
 
-@query()
+def two_means_sql(depth: int, rounds: int, spherical: bool) -> str:
+    """The level and round loop, unrolled: a CTE for each step."""
+    x = f"x AS MATERIALIZED ({NORM} xd)" if spherical else "x AS MATERIALIZED (SELECT * FROM xd)"
+    out = [x, "n0 AS MATERIALIZED (SELECT DISTINCT i, CAST(1 AS BIGINT) AS node FROM x)"]
+    for d in range(depth):
+        out.append(f"""c{d}_0 AS MATERIALIZED (SELECT e.node, x.j, sum(CASE WHEN x.i = e.hi THEN x.v ELSE -x.v END) AS d
+          FROM (SELECT node, min(i) AS lo, max(i) AS hi FROM n{d} GROUP BY node) e JOIN x ON x.i = e.lo OR x.i = e.hi WHERE e.lo < e.hi GROUP BY e.node, x.j)""")
+        for t in range(rounds):
+            out.append(f"""h{d}_{t} AS MATERIALIZED (SELECT i, node * 2 + CASE WHEN c > 1 AND r > c // 2 THEN 1 ELSE 0 END AS node FROM (
+              SELECT i, node, row_number() OVER (PARTITION BY node ORDER BY s, i) AS r, count(*) OVER (PARTITION BY node) AS c FROM (
+                SELECT n.i, n.node, round(coalesce(sum(x.v * c.d), 0), 9) AS s FROM n{d} n JOIN x ON x.i = n.i LEFT JOIN c{d}_{t} c ON c.node = n.node AND c.j = x.j GROUP BY n.i, n.node)))""")
+            mean = f"SELECT h.node, x.j, sum(x.v) AS v, count(*) AS n FROM h{d}_{t} h JOIN x ON x.i = h.i GROUP BY h.node, x.j"
+            unit = f"SELECT node, j, v / nullif(sqrt(sum(v * v) OVER (PARTITION BY node)), 0) AS v FROM ({mean})" if spherical else f"SELECT node, j, v / n AS v FROM ({mean})"
+            out.append(f"c{d}_{t + 1} AS MATERIALIZED (SELECT node // 2 AS node, j, sum(CASE WHEN node % 2 = 1 THEN v ELSE -v END) AS d FROM ({unit}) GROUP BY node // 2, j)")
+        out.append(f"n{d + 1} AS MATERIALIZED (SELECT * FROM h{d}_{rounds - 1})")
+    return ", ".join(out)
+
+
+@query(with_("xd", two_means_sql(2, 3, False)) + "SELECT i, node - 4 AS code FROM n2")
 def i1_balanced_two_means(spark, sf):
-    return clustering.generate(fx.vectors(spark, sf), 2, 3, clustering.KMEANS, max_iter=5)
+    return clustering.generate(fx.vectors(spark, sf), 2, 2, clustering.KMEANS, max_iter=3)
 
 
-@query()
+@query(with_("xd", two_means_sql(2, 3, True)) + "SELECT i, node - 4 AS code FROM n2")
 def i2_spherical_two_means(spark, sf):
-    return clustering.generate(fx.vectors(spark, sf), 2, 3, clustering.SKMEANS, max_iter=5)
+    return clustering.generate(fx.vectors(spark, sf), 2, 2, clustering.SKMEANS, max_iter=3)
 
 
 @query()
@@ -692,6 +710,19 @@ def h5_count_predict(spark, sf):
     return ranking.top_k(r6(sparse.matmul(z, ranking.count_model(z, y))), 2)
 
 
+@query("SELECT doc_id AS i, CAST(unnest([1, 2, 3]) AS BIGINT) AS slot, CAST(unnest([doc_id % 7, (doc_id * 3) % 11, (doc_id * 5) % 13]) AS BIGINT) AS label, CAST(1 AS DOUBLE) AS v FROM documents")
+def h10_repack(spark, sf):
+    """A row's label slots as entries of value 1."""
+    ids = F.array(F.col("doc_id") % 7, (F.col("doc_id") * 3) % 11, (F.col("doc_id") * 5) % 13)
+    d = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("i"), F.posexplode(ids).alias("slot", "label"))
+    return d.select("i", (F.col("slot") + 1).cast("long").alias("slot"), F.col("label").cast("long").alias("label"), F.lit(1.0).alias("v"))
+
+
+@query()
+def l5_spectral(spark, sf):
+    return embedding.create(fx.document_labels(spark, sf).withColumn("j", F.pmod(F.xxhash64("j"), F.lit(1 << 31))), None, "spectral")
+
+
 # --- flagship -----------------------------------------------------------------------------
 FLAG = (
     "yt AS (SELECT * FROM yd WHERE i % 5 <> 0)", f"yn AS ({NORM} yt)",
