@@ -31,7 +31,7 @@ def split(scored: DataFrame) -> DataFrame:
 
 def two_means(m: DataFrame, depth: int, spherical: bool = True, max_iter: int = 20) -> DataFrame:
     """(i, code) by balanced 2-means; the first centres are a node's largest and smallest label."""
-    m = sparse.row_l2(m) if spherical else m
+    m = cut(sparse.row_l2(m) if spherical else m)  # read in every round
     nodes = m.select("i").distinct().withColumn("node", F.lit(1).cast("long"))
     for _ in range(depth):
         ends = nodes.groupBy("node").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo < hi")
@@ -45,19 +45,21 @@ def two_means(m: DataFrame, depth: int, spherical: bool = True, max_iter: int =
             if was is not None and halves.join(was, ["i", "node"], "left_anti").isEmpty():
                 break
             was = halves
-            sides = halves.join(m, "i").groupBy("node", "j").agg(F.sum("v").alias("v")) if spherical else _means(halves, m)
-            if spherical:
-                length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("node")))
-                sides = sides.withColumn("v", F.col("v") / F.nullif(length, F.lit(0.0)))
+            sides = centroids(halves, m, spherical)
             signed = F.when(F.col("node") % 2 == 1, F.col("v")).otherwise(-F.col("v"))
             toward = sides.select(F.floor(F.col("node") / 2).alias("node"), "j", signed.alias("v")).groupBy("node", "j").agg(F.sum("v").alias("d"))
         nodes = was
     return nodes.select("i", (F.col("node") - (1 << depth)).alias("code"))
 
 
-def _means(halves: DataFrame, m: DataFrame) -> DataFrame:
-    size = halves.groupBy("node").agg(F.count("*").alias("n"))
-    return halves.join(m, "i").groupBy("node", "j").agg(F.sum("v").alias("v")).join(size, "node").select("node", "j", (F.col("v") / F.col("n")).alias("v"))
+def centroids(nodes: DataFrame, m: DataFrame, spherical: bool) -> DataFrame:
+    """(node, j, v): a node's sum at length 1 (``spherical``) or its mean."""
+    total = nodes.join(m, "i").groupBy("node", "j").agg(F.sum("v").alias("v"))
+    if spherical:
+        length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("node")))
+        return total.withColumn("v", F.col("v") / F.nullif(length, F.lit(0.0)))
+    size = nodes.groupBy("node").agg(F.count("*").alias("n"))
+    return total.join(size, "node").select("node", "j", (F.col("v") / F.col("n")).alias("v"))
 
 
 def kd_tree(m: DataFrame, depth: int, dims: int, cyclic: bool = False) -> DataFrame:
@@ -83,20 +85,31 @@ def projected(m: DataFrame, dims: int, seed: int) -> DataFrame:
     return sparse.matmul(m, projection(m, dims, seed))
 
 
-def ordinal_codes(m: DataFrame, kdim: int, dims: int, seed: int = 0) -> DataFrame:
-    """Random projection, ranks in equal steps, code = sum of bin * kdim ** dim."""
-    z = projected(m, dims, seed)
+def ordinal_bins(z: DataFrame, kdim: int) -> DataFrame:
+    """Each column's ranks in steps of equal size, as q from 0."""
     w = Window.partitionBy("j")
     step = F.ceil(F.count("*").over(w) / F.lit(kdim))
-    q = z.withColumn("q", F.floor((F.row_number().over(w.orderBy("v", "i")) - 1) / step))
+    return z.withColumn("q", F.floor((F.row_number().over(w.orderBy("v", "i")) - 1) / step))
+
+
+def uniform_bins(z: DataFrame, kdim: int) -> DataFrame:
+    """Each column's values in bins of equal width, as q from 0."""
+    return z.join(F.broadcast(sparse.column_range(z)), "j").withColumn("q", uniform_bin(F.col("v"), F.col("lo"), F.col("hi"), kdim))
+
+
+def hash_code(q: DataFrame, kdim: int) -> DataFrame:
+    """(i, code): sum of q * kdim ** j."""
     return q.groupBy("i").agg(F.sum(F.col("q") * F.pow(F.lit(kdim), F.col("j"))).cast("long").alias("code"))
 
 
+def ordinal_codes(m: DataFrame, kdim: int, dims: int, seed: int = 0) -> DataFrame:
+    """Random projection, ranks in equal steps."""
+    return hash_code(ordinal_bins(projected(m, dims, seed), kdim), kdim)
+
+
 def uniform_codes(m: DataFrame, kdim: int, dims: int, seed: int = 0) -> DataFrame:
-    """Random projection, bins of equal width, code = sum of bin * kdim ** dim."""
-    z = projected(m, dims, seed)
-    q = z.join(F.broadcast(sparse.column_range(z)), "j").withColumn("q", uniform_bin(F.col("v"), F.col("lo"), F.col("hi"), kdim))
-    return q.groupBy("i").agg(F.sum(F.col("q") * F.pow(F.lit(kdim), F.col("j"))).cast("long").alias("code"))
+    """Random projection, bins of equal width."""
+    return hash_code(uniform_bins(projected(m, dims, seed), kdim), kdim)
 
 
 def balanced_ordinal(m: DataFrame, depth: int, seed: int = 0) -> DataFrame:

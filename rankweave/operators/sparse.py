@@ -38,6 +38,17 @@ def concat_columns(left: DataFrame, right: DataFrame, width: int, normalise: boo
     return row_l2(out) if normalise else out
 
 
+def composite_features(first: DataFrame, second: DataFrame, width: int, form: int) -> DataFrame:
+    """Forms 0 to 5: both side by side, the first, the second, with rows of length 1; then the same as they are."""
+    if form not in range(6):
+        raise ValueError(f"feature form {form} is not one of 0 to 5")
+    normalise, pick = form < 3, form % 3
+    if pick == 0:
+        return concat_columns(first, second, width, normalise)
+    one = (first if pick == 1 else second).select("i", "j", "v")
+    return row_l2(one) if normalise else one
+
+
 def append_constant(m: DataFrame, rows: DataFrame, column: int, value: float = 1.0) -> DataFrame:
     """A constant column for each of ``rows`` (i), those without entries too."""
     return m.select("i", "j", "v").unionByName(rows.select("i", F.lit(column).cast(m.schema["j"].dataType).alias("j"), F.lit(float(value)).alias("v")))
@@ -176,6 +187,20 @@ def union_max(ms: Sequence[DataFrame]) -> DataFrame:
     return g.withColumn("v", F.when(F.col("_n") < len(ms), F.greatest("v", F.lit(0.0))).otherwise(F.col("v"))).drop("_n")
 
 
+def permutation(ids: DataFrame, seed: int = 0) -> DataFrame:
+    """(old, new): distinct ids in the order of a seeded hash, numbered from 0.
+
+    Ranges of the hash are numbered apart and moved by the sizes of those before them, so no
+    task holds all ids; the sizes are one row a range.
+    """
+    hashed = ids.select("old").withColumn("_h", F.xxhash64("old", F.lit(seed)))
+    hashed = hashed.withColumn("_r", F.shiftright("_h", 54))  # 1,024 ranges
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = hashed.groupBy("_r").agg(F.count("*").alias("_n")).withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("_r").orderBy("_h", "old"))
+    return hashed.join(F.broadcast(sizes), "_r").select("old", (F.col("_at") + rank - 1).alias("new"))
+
+
 def random_matrix(spark, rows: int, columns: int, seed: int, normal: bool = False) -> DataFrame:
     r = F.randn(seed) if normal else F.rand(seed)
     return spark.range(rows * columns).select(F.floor(F.col("id") / columns).alias("i"), (F.col("id") % columns).alias("j"), r.alias("v"))

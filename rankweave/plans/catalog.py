@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -346,8 +346,7 @@ def o4_running_hits(spark, sf):
 
 @query()
 def o9_permutation(spark, sf):
-    p = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("old"))
-    return p.withColumn("new", F.row_number().over(Window.orderBy(F.xxhash64("old", F.lit(1)), "old")) - 1)
+    return sparse.permutation(fx.table(spark, sf, "part").select(F.col("p_partkey").alias("old")), seed=1)
 
 
 ALL3 = "(SELECT * FROM pa UNION ALL SELECT * FROM pb UNION ALL SELECT * FROM pc)"

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from rankweave.plans import catalog
+from rankweave.plans import catalog, steps
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -24,16 +24,20 @@ def rounded(rows):
     return sorted(repr(tuple(round(x, 5) + 0.0 if isinstance(x, float) else x for x in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["flagship", "p1_row_l2", "j4_negative_sampling", "o1_top_k_rows", "e3_round_robin", "x8_post_processors", "i3_kd_tree", "h3_beam_search", "n1_encode", "m1_precision_recall"])
+QUERIES, ORACLE_SQL = catalog.QUERIES | steps.QUERIES, catalog.ORACLE_SQL | steps.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", ["flagship", "s2_composite_features", "h2_predict_candidates", "a9_objective", "o5_median_split", "x18_padding", "g1_cholesky", "g2_svd", "p1_row_l2", "j4_negative_sampling", "o1_top_k_rows", "e3_round_robin", "x8_post_processors", "i3_kd_tree", "h3_beam_search", "n1_encode", "m1_precision_recall"])
 def test_query_matches_sql(spark, con, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = rounded(tuple(r[c] for c in columns) for r in df.collect())
-    want = con.sql(catalog.ORACLE_SQL[name])
+    want = con.sql(ORACLE_SQL[name])
     assert sorted(want.columns) == columns
     at = [want.columns.index(c) for c in columns]
     assert got == rounded(tuple(r[i] for i in at) for r in want.fetchall())
 
 
 def test_every_sql_has_a_query():
-    assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
+    assert set(ORACLE_SQL) <= set(QUERIES)
+    assert len(QUERIES) == len(catalog.QUERIES) + len(steps.QUERIES)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import scoring
 from rankweave.functions import text as words
-from rankweave.operators import clustering, ranking, sparse, training
+from rankweave.operators import clustering, dense, ranking, sparse, training
 
 M = "i long, j long, v double"
 
@@ -107,3 +107,39 @@ def test_text_features(spark):
     assert set(v) == {(1, "red"), (1, "fish"), (2, "blue"), (2, "fish")}
     e = {r["i"]: r for r in words.encode(d, words.vocabulary(d, "k", "text", 2), "k", "text", 5).collect()}
     assert e[3]["input_ids"] == [2, 3, 0, 0, 0] and e[1]["attention_mask"] == [1, 1, 1, 1, 1] and len(e[2]["input_ids"]) == 5
+
+
+def test_permutation_numbers_every_id_once(spark):
+    ids = spark.range(500).select(F.col("id").alias("old"))
+    new = {r["old"]: r["new"] for r in sparse.permutation(ids, 3).collect()}
+    assert sorted(new.values()) == list(range(500)) and [new[k] for k in range(500)] != list(range(500))
+    assert new == {r["old"]: r["new"] for r in sparse.permutation(ids.repartition(7), 3).collect()}
+    assert sparse.permutation(ids.limit(0)).isEmpty()
+
+
+def test_objectives_match_the_solver_side(spark):
+    rng = np.random.default_rng(5)
+    x, w = rng.normal(size=(6, 3)), rng.normal(size=3)
+    sign = [1, -1, 1, 1, -1, -1]
+    rows = spark.createDataFrame([(4, i, s) for i, s in enumerate(sign)], "label long, i long, sign int")
+    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(6) for j in range(3)], M)
+    weights = spark.createDataFrame([(4, j, float(w[j])) for j in range(3)], "label long, j long, w double")
+    for solver in (1, 3):
+        o = training.Options(solver=solver, c_pos=2.0)
+        assert training.objectives(rows, cells, weights, o).first()["v"] == pytest.approx(training.objective(w, x, np.array(sign), o))
+
+
+def test_dense_factorisations(spark):
+    a = spark.createDataFrame([(0, 0, 0, 4.0), (0, 0, 1, 2.0), (0, 1, 0, 2.0), (0, 1, 1, 3.0), (1, 5, 5, 2.0)], "key long, i long, j long, v double")
+    b = spark.createDataFrame([(0, 0, 0, 2.0), (0, 1, 0, 5.0), (1, 5, 0, 8.0)], "key long, i long, j long, v double")
+    got = {(r["key"], r["i"]): r["v"] for r in dense.cholesky_solve(a, b).collect()}
+    assert got == {(0, 0): pytest.approx(-0.5), (0, 1): pytest.approx(2.0), (1, 5): pytest.approx(4.0)}
+    parts = {(r["key"], r["part"], r["i"], r["j"]): r["v"] for r in dense.svd(a).collect()}
+    assert parts[(1, "S", 0, 0)] == pytest.approx(2.0) and abs(parts[(1, "U", 5, 0)]) == pytest.approx(1.0)
+
+
+def test_composite_features_need_a_known_form(spark):
+    m = spark.createDataFrame([(0, 0, 2.0)], M)
+    assert entries(sparse.composite_features(m, m, 8, 3)) == {(0, 0): 2.0, (0, 8): 2.0}
+    with pytest.raises(ValueError):
+        sparse.composite_features(m, m, 8, 6)
