@@ -4,8 +4,9 @@ The kernel of two strings is the weighted count of subsequences they share: thre
 within five places, and four within six, decaying with the span, so gapped and inserted
 characters cost little. It is approximated by Nystrom landmarks. The machine is trained on
 labelled sentences as bags: a clean document's sentences hold no toxic string, a toxic one's
-hold one at least, and which one is chosen anew in each round (its best-scoring string). A
-sentence's score is that of its best string, a document's that of its best sentences, mapped
+hold one at least: any string far more frequent in toxic documents than chance allows, else
+the best-scoring one, chosen anew in each round. Near copies are learned from once. Clean
+strings that score high in the first round become landmarks of the later ones. A sentence's score is that of its best string, a document's that of its best sentences, mapped
 to a probability by a logistic curve.
 
 A Nystrom machine is a weighted sum of landmark kernels, hence one weight for each hashed
@@ -34,18 +35,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bound_arrow, crc_mod, held_out
+from .near_dedup import WordHashes, bands, shingles, signature
 
 BITS = 18
 DECAY = 0.7
 PATTERNS = [(0, *p) for n, span in ((3, 5), (4, 6)) for p in combinations(range(1, span), n - 1)]
 #: Longer strings are looked at in pieces of so many letters, half of which overlap.
 PIECE = 14
-LANDMARKS = 192
+LANDMARKS, HARD = 192, 96
 CLEAN_STRINGS = 12_000
 KEPT = 300_000
 SLICE = 1_000_000
-#: Log-odds from which on a string counts as toxic without a choice.
+#: Margin from which a string counts as evidence of its own.
+SURELY = 0.5
+#: Log-odds from which on a string counts as toxic without a choice, if less than one string
+#: of all would be so lopsided by chance.
 PURE = 2.0
+#: Log-odds that a document's best string must have at least.
+LEAN = 1.0
 SPACED = re.compile(r"(?:(?<=\s)|^)(?:\w\s){2,}\w(?=\s|$)")
 SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
 
@@ -86,6 +93,18 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield places, np.concatenate(hashed, axis=1).astype(np.int64), np.concatenate(weight)
 
 
+def lengths_of(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Length of each row's feature vector; equal features of a row (repeated letters) add up."""
+    order = np.argsort(h, axis=1)
+    ordered = np.take_along_axis(h, order, axis=1)
+    first = np.ones(h.shape, bool)
+    first[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    starts = np.flatnonzero(first)
+    sums = np.add.reduceat(w[order].ravel(), starts)
+    length = np.sqrt(np.bincount(starts // h.shape[1], sums * sums, len(h)))
+    return np.where(length > 0, length, 1.0)
+
+
 def kernel_sums(texts: list[str], vectors: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
     """Normalised products of each text's feature vector with the columns of ``vectors``.
 
@@ -94,10 +113,10 @@ def kernel_sums(texts: list[str], vectors: np.ndarray, place: np.ndarray | None
     """
     out = np.zeros((len(texts), vectors.shape[1]))
     for places, h, w in features(texts):
-        norm = np.sqrt((w * w).sum()) or 1.0
         for at in range(0, len(places), 128):
             rows = h[at : at + 128]
-            out[places[at : at + 128]] = (w @ vectors[rows if place is None else place[rows]]) / norm  # (f) x (t, f, v)
+            sums = w @ vectors[rows if place is None else place[rows]]  # (f) x (t, f, v)
+            out[places[at : at + 128]] = sums / lengths_of(rows, w)[:, None]
     return out
 
 
@@ -114,6 +133,37 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
     return w
 
 
+class Landmarks:
+    """Nystrom map of strings by their kernels with the landmarks."""
+
+    def __init__(self, texts: list[str]):
+        texts = list(dict.fromkeys(texts))
+        # only features of landmarks matter here: a row for each, and row 0 for all others
+        parts = list(features(texts))
+        self.used = np.unique(np.concatenate([h.ravel() for _, h, _ in parts]))
+        self.place = np.zeros(1 << BITS, np.int32)
+        self.place[self.used] = np.arange(1, len(self.used) + 1)
+        self.vectors = np.zeros((len(self.used) + 1, len(texts)), np.float32)
+        for places, h, w in parts:
+            for i, row, length in zip(places, h, lengths_of(h, w), strict=True):
+                np.add.at(self.vectors[:, i], self.place[row], w / length)
+        self.vectors[0] = 0
+        gram = kernel_sums(texts, self.vectors, self.place)
+        value, base = np.linalg.eigh((gram + gram.T) / 2)
+        good = value > 1e-6 * value.max()
+        self.nystrom = base[:, good] / np.sqrt(value[good])
+
+    def mapped(self, texts: list[str]) -> np.ndarray:
+        z = kernel_sums(texts, self.vectors, self.place) @ self.nystrom
+        return np.concatenate([z, np.ones((len(texts), 1))], axis=1)
+
+    def weights(self, solved: np.ndarray) -> tuple[np.ndarray, float]:
+        """A solution in the map as weights of hashed subsequences, and its bias."""
+        out = np.zeros(1 << BITS)
+        out[self.used] = (self.vectors @ (self.nystrom @ solved[:-1]).astype(np.float32))[1:]
+        return out, float(solved[-1])
+
+
 class Machine:
     """Trained weights of hashed subsequences, and the curve from margins to probabilities."""
 
@@ -121,6 +171,7 @@ class Machine:
         self.weights, self.bias, self.curve = np.zeros(1 << BITS), -1.0, np.array([-20.0, 0.0, 0.0])
         if {y for _, y in rows} != {0, 1}:
             return
+        rows = once(rows)
         seen, number = {1: Counter(), 0: Counter()}, Counter(y for _, y in rows)
         bags: list[list[str]] = []  # of toxic documents; of clean ones only counts are kept
         name: dict[str, str] = {}
@@ -133,48 +184,40 @@ class Machine:
         rate = {s: np.log((n + 0.3) / (number[1] + 1)) - np.log((clean[s] + 0.3) / (number[0] + 1)) for s, n in toxic.items()}
         telling = sorted(toxic, key=lambda s: (-rate[s] * np.sqrt(toxic[s]), s))
         usual = [s for s, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
-        landmarks = list(dict.fromkeys(telling[: LANDMARKS * 3 // 4] + usual[: LANDMARKS // 4]))
-        # only features of landmarks matter here: a row for each, and row 0 for all others
-        parts = list(features(landmarks))
-        used = np.unique(np.concatenate([h.ravel() for _, h, _ in parts]))
-        place = np.zeros(1 << BITS, np.int32)
-        place[used] = np.arange(1, len(used) + 1)
-        vectors = np.zeros((len(used) + 1, len(landmarks)), np.float32)
-        for places, h, w in parts:
-            for i, row in zip(places, h, strict=True):
-                np.add.at(vectors[:, i], place[row], w / (np.sqrt((w * w).sum()) or 1.0))
-        vectors[0] = 0
-        gram = kernel_sums(landmarks, vectors, place)
-        value, base = np.linalg.eigh((gram + gram.T) / 2)
-        good = value > 1e-6 * value.max()
-        nystrom = base[:, good] / np.sqrt(value[good])
-
-        def mapped(texts: list[str]) -> np.ndarray:
-            z = kernel_sums(texts, vectors, place) @ nystrom
-            return np.concatenate([z, np.ones((len(texts), 1))], axis=1)
-
         negatives = usual[: CLEAN_STRINGS // 2] + sorted(usual[CLEAN_STRINGS // 2 :], key=lambda s: hash_of(s))[: CLEAN_STRINGS // 2]
-        x0 = mapped(negatives)
+        # a mistake costs more on strings of many documents; 1 on average
+        common = np.sqrt([clean[s] for s in negatives])
+        common *= len(common) / max(common.sum(), 1.0)
         every = sorted({s for b in bags for s in b})
         number_of = {s: i for i, s in enumerate(every)}
-        # strings of several toxic documents and hardly any clean one are taken as they are
-        pure = {s for s in every if toxic[s] >= 3 and rate[s] >= PURE}
-        score = rate
-        for _ in range(3):
+        # strings far more frequent in toxic documents than chance allows are taken as they are
+        pure = {s for s in every if rate[s] >= PURE and surprise(toxic[s], clean[s], number[1] / (number[0] + number[1])) > np.log(len(every))}
+        space = Landmarks(telling[: LANDMARKS * 3 // 4] + usual[: LANDMARKS // 4])
+        x0 = space.mapped(negatives)
+        score, least = rate, -np.inf if not pure else np.inf
+        for turn in range(4):
+            # a document without such a string gives its best one, if that is on the toxic side
             witness: Counter = Counter()
             for b in bags:
-                witness.update(pure.intersection(b) or [max(b, key=lambda s: (score[s], s))])
+                best = pure.intersection(b) or [max(b, key=lambda s: (score[s], s))]
+                witness.update(s for s in best if s in pure or (score[s] > least and rate[s] >= LEAN))
             chosen = sorted(witness)
             many = np.array([witness[s] for s in chosen], float)
-            x = np.concatenate([x0, mapped(chosen)])
+            x = np.concatenate([x0, space.mapped(chosen)])
             y = np.r_[-np.ones(len(negatives)), np.ones(len(chosen))]
-            cost = np.r_[np.full(len(negatives), 1.0), many / many.sum() * len(negatives) / 2]
-            solved = squared_hinge(x, y, cost)
-            beta = nystrom @ solved[:-1]
-            self.weights[used], self.bias = (vectors @ beta.astype(np.float32))[1:], float(solved[-1])
+            cost = np.r_[common, many / max(many.sum(), 1.0) * len(negatives) / 2]
+            self.weights, self.bias = space.weights(squared_hinge(x, y, cost))
+            if turn == 0:
+                # clean strings that look toxic become landmarks, so that they can be told apart
+                look = np.maximum(self.margins(negatives) + 1, 0) * common
+                hard = [negatives[i] for i in np.argsort(-look, kind="stable")[:HARD]]
+                space = Landmarks(telling[: LANDMARKS * 3 // 4] + usual[: LANDMARKS // 4] + hard)
+                x0 = space.mapped(negatives)
+                continue
             margin = self.margins(every)
             # a string that clean documents hold as well tells less, whatever its letters
             score = {s: margin[i] + min(0.0, rate[s]) for s, i in number_of.items()}
+            least = 0.0 if pure else -np.inf
         evidence = self.evidence([t for t, _ in rows], {})
         label = np.array([y for _, y in rows], float)
         self.curve = logistic(evidence, label)
@@ -198,7 +241,7 @@ class Machine:
         kept.update(zip(tokens, np.maximum.reduceat(margin, starts).tolist(), strict=True))
 
     def evidence(self, texts: list[str], kept: dict[str, float]) -> np.ndarray:
-        """Per text the largest margin, and how many strings are on the toxic side (log).
+        """Per text the largest margin, and how many strings are well on the toxic side (log).
 
         Sentences only part strings, so a text's best string is its best sentence's.
         """
@@ -222,7 +265,7 @@ class Machine:
             get = kept.__getitem__
             for i, own in enumerate(tokens, begin):
                 values = np.fromiter(map(get, own), float, len(own))
-                out[i] = (values.max(), np.log1p((values > 0).sum())) if own else (-2.0, 0.0)
+                out[i] = (values.max(), np.log1p((values > SURELY).sum())) if own else (-2.0, 0.0)
             begin, size = end, 0
         return out
 
@@ -230,6 +273,27 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + evidence @ self.curve[1:], -30, 30)))
 
 
+def once(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Rows less near copies of an earlier row with the same label, whose every word would look telling."""
+    hashes, met, out = WordHashes(), set(), []
+    for text, y in rows:
+        held = shingles(text, 5, hashes)
+        own = {(y, k, v) for k, v in enumerate(bands(signature(held)[None])[0].tolist())} if len(held) else {(y, -1, 0)}
+        if met.isdisjoint(own):
+            out.append((text, y))
+        met |= own
+    return out
+
+
+def surprise(toxic: int, clean: int, share: float) -> float:
+    """Bound on -log of the chance that so many of a string's documents are toxic, ``share`` of all being so."""
+    n = toxic + clean
+    p = toxic / n
+    if p <= share:
+        return 0.0
+    return n * (p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if clean else 0.0))
+
+
 def hash_of(s: str) -> int:
     h = 2166136261
     for c in s:
