@@ -5,14 +5,13 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of every corpus contract: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Upper and lower case letters that the contracts fold; others stay as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ARROW_BYTES = "16m"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,46 +21,42 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) a folder under the warehouse is taken.
+    Only a local session (tests) may leave it unset: then it is a folder under the warehouse.
     """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts the lineage.
 
-    The files outlive lost executors. They go when the application ends.
+    The files outlive lost executors. They go by ``forget``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    _drop_at_exit(spark, path)
-    return spark.read.schema(schema).parquet(path)
+    atexit.register(_delete, spark, path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
-    def drop() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            pass
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  at exit the session may be gone already
+        pass
 
-    atexit.register(drop)
 
-
-def bound_arrow(spark: SparkSession) -> None:
-    """Keeps each Arrow batch small, so that a batch of long texts fits a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a ``stored`` frame that nothing will read any more."""
+    _delete(df.sparkSession, df._stored_at)
 
 
 def fold(text):
@@ -81,18 +76,14 @@ def held_out(doc_id: str, modulus: int):
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components: returns (node, component), component being its smallest node.
 
-    Alternates large-star and small-star contractions (Kiveris et al. 2014). Each is one
-    grouped minimum and one join, so a node with many neighbours is never one task's list.
+    Alternates large-star and small-star contractions (Kiveris et al. 2014): each is a
+    grouped minimum, which is written, and a join with it. Of a hub's neighbours each is a
+    row of that join, never a list; as both sides come straight from a shuffle, Spark splits
+    a hub's rows over tasks. Rounds grow with the logarithm of the number of nodes squared.
     Nodes without an edge are not returned. Empty input gives an empty result.
     """
-    shared_dir(edges.sparkSession)
     kind = edges.schema[a].dataType
-    now = (
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where("u <> v")
-        .distinct()
-        .checkpoint()
-    )
+    now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
 
     def mark(df: DataFrame):
         return df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
@@ -103,19 +94,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             break
         # large star: every larger neighbour, and the node, go to the smallest neighbour
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        # edges are (larger, smaller): the smaller end is the hub that is looked up
+        large = now.select(F.col("v").alias("hub"), "u").join(low.select(F.col("u").alias("hub"), "m"), "hub")
+        large = stored(large.select("u", F.col("m").alias("v")).distinct(), "large")
         # small star: smaller neighbours go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        following = (
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-            .checkpoint()
-        )
-        was, seen, now = seen, mark(following), following
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        more = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        following = stored(more.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        was, seen = seen, mark(following)
+        for done in (now, low, large):
+            forget(done)
+        now = following
         if was == seen:
             break
     else:
@@ -125,12 +115,47 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return nodes.union(roots).select(F.col("u").cast(kind).alias("node"), F.col("component").cast(kind).alias("component"))
 
 
-#: Up to so many ids (8 bytes each) are broadcast; more are joined by shuffling.
-BROADCAST_IDS = 300_000
+#: Words of 64 bits of a key filter: 1 MB, whatever the number of keys.
+FILTER_WORDS = 1 << 17
+
+
+class KeyFilter:
+    """Bloom filter of a column of keys, of a fixed size, built and asked in the JVM.
+
+    ``may_have`` is true for every key that was put in, and for a small share of others as
+    long as keys are fewer than a tenth of the bits; with more keys it only lets more rows
+    pass, up to all. So it thins what a shuffle moves, and what follows must be exact.
+    """
+
+    def __init__(self, keys: DataFrame, key: Column):
+        at = F.explode(F.array(*self._places(F.xxhash64(key))))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))
+        words = keys.where(key.isNotNull()).select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("b"))
+        every = keys.sparkSession.range(FILTER_WORDS).withColumnRenamed("id", "w").join(words, "w", "left").select("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+        ordered = F.array_sort(F.collect_list(F.struct("w", "b")))
+        self.bits = stored(every.agg(F.transform(ordered, lambda x: x["b"]).alias("bits")), "filter")
+
+    @staticmethod
+    def _places(h: Column) -> list[Column]:
+        most = F.lit(FILTER_WORDS * 64 - 1)
+        return [F.shiftrightunsigned(h, k).bitwiseAND(most) for k in (0, 20, 40)]
+
+    def may_have(self, key: Column) -> Column:
+        """Whether ``key`` may be among the keys; null is not."""
+        found = F.lit(True)
+        for p in self._places(F.xxhash64(key)):
+            word = F.get(self.bits.scalar(), F.shiftright(p, 6).cast("int"))
+            found = found & (F.call_function("shiftrightunsigned", word, p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+        return F.coalesce(found & key.isNotNull(), F.lit(False))
 
 
 def without_ids(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` less the rows whose id is in ``gone`` (column doc_id); rows without id stay."""
+    """``docs`` less the rows whose id is in ``gone`` (column doc_id); rows without id stay.
+
+    Rows that a filter of the ids excludes stay where they are; only the rest, about as many
+    as go, meet the ids in a join.
+    """
     gone = stored(gone.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, docs[doc_id] == side["_gone"], "left_anti")
+    maybe = KeyFilter(gone, F.col("_gone")).may_have(docs[doc_id])
+    asked = docs.where(maybe)
+    return docs.where(~maybe).unionByName(asked.join(gone, asked[doc_id] == gone["_gone"], "left_anti"))
