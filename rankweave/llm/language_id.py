@@ -7,32 +7,36 @@ is selected: starting from the likeliest one, a language joins as long as the li
 gains more than the penalty. The prediction is the set's language of largest proportion.
 
 The models are fitted on a bounded sample: about ``per_language`` documents of each language,
-chosen by a hash of the id. All documents are predicted, on their whole texts.
+chosen by a hash of the id. Workers count the sample's n-grams; the driver gets the counts,
+whose size depends on the number of languages only. All documents are predicted, on their
+whole texts.
 
 Results: null texts, empty ones and those without a letter are ``und`` with score 0; null
-languages are not learned; without learned languages all are ``und``; repeated rows are each
-predicted; only doc_id, text and lang are read.
+languages are not learned; without learned languages all are ``und``; a null id is neither
+held out nor learned from; repeated rows are each predicted; an empty table gives an empty
+result; only doc_id, text and lang are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_arrow, crc_mod, held_out
+from .common import crc_mod, held_out
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
-#: Text of the sample that the driver reads at most, a document.
+#: Rounds of expectation-maximisation, and characters of text looked at at once.
 ROUNDS = 12
 SLICE = 1_000_000
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter is of Unicode's category L; numerals such as U+00BD or U+2167 are none.
+LETTER = regex.compile(r"\p{L}")
 #: Bytes that are part of words: a-z and all of UTF-8 beyond ASCII; others become a space.
 _WORDS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -137,35 +141,44 @@ class Languages:
         return share, best
 
 
-def fit(rows: list[tuple[str, str]]) -> Languages:
-    names = sorted({lang for lang, _ in rows})
-    counts = np.zeros((len(names), BUCKETS))
-    documents = np.zeros(len(names))
-    for i, name in enumerate(names):
-        own = [t for lang, t in rows if lang == name]
-        documents[i] = len(own)
-        data, _ = joined(own)
-        inside = (data != 0x20) | np.r_[False, data[:-1] != 0x20]
-        for g in grams(data):
-            counts[i] += np.bincount(g[inside], minlength=BUCKETS)
-    return Languages(names, counts, documents)
+def gram_counts(texts: list[str]) -> np.ndarray:
+    data, _ = joined(texts)
+    inside = (data != 0x20) | np.r_[False, data[:-1] != 0x20]
+    return sum((np.bincount(g[inside], minlength=BUCKETS) for g in grams(data)), np.zeros(BUCKETS, np.int64))
 
 
-def learn(spark: SparkSession, docs: DataFrame, per_language: int, doc_id: str, text: str, lang: str) -> Languages:
+def learn(docs: DataFrame, per_language: int, doc_id: str, text: str, lang: str) -> Languages:
     labelled = docs.where(F.coalesce(crc_mod(doc_id, 4) != 2, F.lit(False)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = labelled.groupBy(lang).count()
+    sizes = labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
     # of a language with n documents each is taken with chance per_language / n
-    chance = F.pmod(F.xxhash64(doc_id, F.lit(10)), F.lit(1 << 30)) < F.lit(float(per_language) * (1 << 30)) / F.col("_n")
-    taken = labelled.select(doc_id, F.col(lang).alias("_lang"), F.col(text).alias("_text"))
-    sample = taken.join(F.broadcast(sizes.select(F.col(lang).alias("_lang"), F.col("count").alias("_n"))), "_lang").where(chance).select("_lang", "_text")
-    return fit(sorted(tuple(r) for r in sample.collect()))
+    chance = F.pmod(F.xxhash64("_id", F.lit(10)), F.lit(1 << 30)) < F.lit(float(per_language) * (1 << 30)) / F.col("_n")
+    taken = labelled.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    sample = taken.join(F.broadcast(sizes), "_lang").where(chance).select("_lang", "_text")  # a row a language
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for i, t in enumerate(batch.column(1)):
+                one = found.setdefault(names[i], np.zeros(BUCKETS + 1, np.int64))
+                one[:BUCKETS] += gram_counts([t.as_py()])
+                one[BUCKETS] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([c.tobytes() for c in found.values()], pa.binary())], ["lang", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
+        return pa.table({"lang": table.column("lang")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    counted = sample.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(add, "lang string, counts binary")
+    rows = sorted((r["lang"], np.frombuffer(r["counts"], np.int64)) for r in counted.collect())
+    counts = np.array([c for _, c in rows], float).reshape(-1, BUCKETS + 1)
+    return Languages([name for name, _ in rows], counts[:, :BUCKETS], counts[:, BUCKETS])
 
 
 def identify(docs: DataFrame, per_language: int = 400, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score, langs) for each row; ``langs``: proportions by language."""
     spark = docs.sparkSession
-    bound_arrow(spark)
-    model = learn(spark, docs, per_language, doc_id, text, lang)
+    model = learn(docs, per_language, doc_id, text, lang)
     kind = docs.schema[doc_id].dataType
     names = model.names
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x languages numbers
