@@ -9,13 +9,16 @@
    already in one component need no look.
 4. Components of the verified links are the groups; the smallest id of a group stays.
 
-Equal sets share one node, so copies never pair up. Clusters over ``CHUNK`` sets are cut into
-chunks, and each pair of chunks is a task, so memory is bounded and no link is lost. The
-chance that a pair at the threshold shares no band is (1 - 0.8**6)**56 < 1e-7.
+Equal sets share one node, so copies never pair up. Clusters over ``CHUNK`` sets or
+``CHUNK_SHINGLES`` shingles are cut into chunks, and each pair of chunks is a task, so memory is
+bounded and no link is lost. The chance that a pair at the threshold shares no band is
+(1 - 0.8**6)**56 < 1e-7. Texts that are in no cluster never move: a fixed-size filter of the
+members' ids tells which rows are joined with the clusters.
 
 Results: null texts and texts without words have an empty set and no links; equal ids are one
 node; a row without id takes its equal texts' group, or is kept on its own; repeated rows are
-each reported; only doc_id and text are read.
+each reported; an empty table gives an empty result; ids are whole numbers (text ids that are
+not raise an error); only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,15 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, components, stored
+from .common import KeyFilter, components, stored
 
 BANDS, ROWS = 56, 6
 HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-6
-CHUNK = 2_000
+CHUNK, CHUNK_SHINGLES = 2_000, 3_000_000
 WORDS_KEPT = 300_000
-BROADCAST_MEMBERS = 200_000
 _draw = np.random.default_rng(20240)
 FACTOR = (_draw.integers(0, 2**31, HASHES, dtype=np.uint32) << 1) | np.uint32(1)
 ADDEND = _draw.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -154,22 +156,23 @@ def verify(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None,
 
 def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
-    bound_arrow(docs.sparkSession)
     kind = docs.schema[doc_id].dataType
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            texts = batch.column(1)
-            sets = [shingles(texts[i].as_py(), shingle_words, hashes) for i in range(batch.num_rows)]
-            n = np.array([len(s) for s in sets], np.int64)
-            some = n > 0
-            value = bands(np.stack([signature(s) for s in sets if len(s)])) if some.any() else np.zeros((0, BANDS), np.int64)
-            ends = np.r_[0, np.cumsum(some * BANDS)].astype(np.int32)
-            digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+            n, digest, signatures = [], [], []
+            for text in batch.column(1):
+                s = shingles(text.as_py(), shingle_words, hashes)
+                n.append(len(s))
+                digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                if len(s):
+                    signatures.append(signature(s))
+            value = bands(np.stack(signatures)) if signatures else np.zeros((0, BANDS), np.int64)
+            ends = np.r_[0, np.cumsum((np.array(n) > 0) * BANDS)].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), digest, pa.ListArray.from_arrays(pa.array(ends), pa.array(value.ravel()))],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(value.ravel()))],
                 ["doc_id", "n_shingles", "set_hash", "bands"],
             )
 
@@ -180,10 +183,11 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, doc_i
     pairs = banded.join(shared, "band").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     clusters = components(pairs)
 
-    heads = table.where("n_shingles > 0").select("doc_id", "set_hash", node).groupBy("set_hash", "node").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
-    heads = stored(heads, "heads")
-    members = stored(heads.join(clusters, "node").where("head is not null").select("head", "component"), "members")
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
+    sets = table.where("n_shingles > 0").groupBy("set_hash", node)
+    heads = stored(sets.agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"), F.max("n_shingles").alias("size")), "heads")
+    members = stored(heads.join(clusters, "node").where("head is not null").select("head", "component", "size"), "members")
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_SHINGLES)).cast("int")
+    sizes = members.groupBy("component").agg(chunks.alias("chunks")).where("chunks > 1")
     members = members.join(sizes, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     members = members.withColumn("chunk", F.pmod(F.xxhash64("head"), F.col("chunks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("chunks") - 1)
@@ -191,8 +195,9 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, doc_i
     members = members.select(
         "head", "chunk", F.xxhash64("component", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("task"), (F.col("chunk") != F.col("other")).alias("across")
     )
-    few = members.count() <= BROADCAST_MEMBERS
-    texts = named.join(F.broadcast(members) if few else members, named["doc_id"] == members["head"]).select("task", "across", "chunk", "head", "text")
+    members = stored(members, "tasks")
+    clustered = named.where(KeyFilter(members, F.col("head")).may_have(F.col("doc_id")))
+    texts = clustered.join(members, clustered["doc_id"] == members["head"]).select("task", "across", "chunk", "head", "text")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
