@@ -8,11 +8,14 @@ add up. Digests that several rows share are hits. Hits receive byte verification
 under one digest must be the same bytes; where they aren't, texts decide, not the digest.
 
 Ranges grow in number with the table, so a compaction's memory is bounded. A digest with a
-third of all rows is one entry of each run. Verification compares the least with the greatest
-text of each digest, which each task does for its own rows first.
+third of all rows is one entry of each run. Verification reads the texts of hits only: a
+filter of their ids, of a fixed size, tells which rows they are. It compares the least with
+the greatest text of each digest, which each task does for its own rows first.
 
 Results: null counts as empty text; a null id counts as larger than any other; repeated
-rows belong to the same group and count each time; only doc_id and text are read.
+rows belong to the same group and count each time; an empty table gives an empty result; ids
+are whole numbers below 2^63 - 1 (text ids that are not raise an error); only doc_id and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,15 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, bound_arrow, stored
+from .common import SPACE, KeyFilter, stored
 
 MEMTABLE = 100_000
 RANGE_ROWS = 400_000
-#: Up to so many digests of hits (16 bytes each) are broadcast; more are joined by shuffling.
-BROADCAST_KEYS = 200_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -130,33 +131,26 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     ``digest_digits`` hex digits of the hash are the index's digest (fewer: more collisions,
     the same result).
     """
-    bound_arrow(docs.sparkSession)
-    norm = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " ")
-    sha = F.sha2(norm, 256)
-    digest = F.rpad(F.substring(F.col("text_sha256"), 1, digest_digits), 16, "0")
     kind = docs.schema[doc_id].dataType
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    keyed = stored(named.select("doc_id", sha.alias("text_sha256")), "digests").withColumn("digest", digest)
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " ").alias("norm"))
+    digest = F.rpad(F.substring("text_sha256", 1, digest_digits), 16, "0")
+    keyed = stored(named.select("doc_id", F.sha2("norm", 256).alias("text_sha256")), "digests").withColumn("digest", digest)
     hits = stored(index_hits(keyed, max(8, keyed.count() // RANGE_ROWS)), "hits")
-    few = hits.count() <= BROADCAST_KEYS
-    wanted = F.broadcast(hits.select("digest")) if few else hits.select("digest")
-    norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")
-    found = named.select("doc_id", norm.alias("norm")).withColumn("text_sha256", F.sha2("norm", 256)).withColumn("digest", digest).join(wanted, "digest", "left_semi")
+    several = stored(keyed.join(hits.select("digest"), "digest", "left_semi").select("doc_id"), "several")
+    asked = F.col("doc_id").isNull() | KeyFilter(several, F.col("doc_id")).may_have(F.col("doc_id"))
+    # a row more that the filter lets through is alone under its digest, and so like itself
+    found = named.where(asked).withColumn("text_sha256", F.sha2("norm", 256)).withColumn("digest", digest)
     unlike = stored(found.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi").select("digest"), "unlike")
-    own = F.coalesce("keep_id", "doc_id")
     if unlike.isEmpty():
         out = keyed.join(hits, "digest", "left")
     else:
-        same = Window.partitionBy("digest", "norm")
-        apart = found.join(unlike, "digest", "left_semi").select(
-            "doc_id", "text_sha256", "digest", F.min("doc_id").over(same).alias("keep_id"), F.count("*").over(same).alias("group_size")
-        )
+        apart = found.join(unlike, "digest", "left_semi")
+        own = stored(apart.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "own")
         sure = hits.join(unlike, "digest", "left_anti")
         rest = keyed.join(unlike, "digest", "left_anti").join(sure, "digest", "left")
-        out = rest.unionByName(apart)
-    out = out.withColumn("_first", own)
-    kept = F.col("doc_id").eqNullSafe(F.col("_first"))
+        out = rest.unionByName(apart.join(own, ["digest", "norm"]).drop("norm"))
+    out = out.withColumn("_first", F.coalesce("keep_id", "doc_id"))
     return out.select(
         F.col("doc_id").cast(kind).alias("doc_id"), F.col("_first").cast(kind).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256",
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("_first")).alias("kept"), "text_sha256",
     )
