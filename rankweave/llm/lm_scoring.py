@@ -15,7 +15,8 @@ Counts per token are stored packed; EM and scoring read them, not the texts.
 
 Results: null and empty texts have one token, the end; a null id is in the training part;
 repeated rows are each scored, and count each time; without training documents all words are
-unknown; only doc_id and text are read, so other columns may have any name.
+unknown; an empty table gives an empty result; ids are whole numbers (text ids that are not
+raise an error); only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -30,9 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_arrow, crc_mod, stored
+from .common import crc_mod, stored
 
-BLOCK_BYTES = 8_000_000
+#: Text of a block, and blocks for each range of keys: a range holds as many entries as two
+#: blocks do, so both fit a worker, and there are half as many ranges as blocks.
+BLOCK_BYTES = 10_000_000
+RANGE_BLOCKS = 2
 WORDS_KEPT = 300_000
 #: A key is 56 bits of a hash; the byte below tells its kind.
 UNIGRAM, BIGRAM, BEGIN = 0, 1, 2
@@ -103,14 +107,13 @@ def token_counts(docs: DataFrame, modulus: int, held: int, doc_id: str, text: st
     ``counts``: c(w) of the n tokens, c(v w), and for documents of the EM part the same
     without that part. Totals: tokens, types and documents of all training and without it.
     """
-    bound_arrow(docs.sparkSession)
     kind = docs.schema[doc_id].dataType
     mod = F.coalesce(crc_mod(doc_id, modulus), F.lit(0))
     size = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
     blocks = max(1, -(-(size[0] or 0) // BLOCK_BYTES), -(-size[1] // 100_000))
-    ranges = max(4, 2 * blocks)
+    ranges = max(4, -(-blocks // RANGE_BLOCKS))
     # ids decide the block; the text does where ids are few or missing
-    block = F.pmod(F.xxhash64(F.col(doc_id), F.substring(F.col(text), 1, 64)), F.lit(blocks))
+    block = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(blocks))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), mod.cast("int").alias("mod"), block.alias("block"))
 
     def masks(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -236,6 +239,9 @@ def learn_weights(grid: list[tuple[int, int, int, int]], rounds: int = 200) -> n
         m = n[own].sum()
         w = em(part[own], n[own]) if own.any() else overall
         weights[b] = (m * w + 5 * overall + 1 / 3) / (m + 6)
+    # after a context never seen the bigram estimate is 0: its weight goes to the others
+    weights[0, 0] = 0
+    weights[0] /= weights[0].sum()
     return weights
 
 
