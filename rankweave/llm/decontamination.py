@@ -6,27 +6,26 @@ hold the window only where it holds that word, so these words alone are joined.
 place in the window fixes where the window would begin, which gives the positional and length
 bounds; what is left is verified by comparing the whole window with the words there.
 
-DataFrame functions only. Documents are read twice (counts, join) and never shuffled: what a
-document's words meet is a broadcast block of at most ``WINDOWS`` windows. A larger benchmark
-is taken in several blocks. Shuffled are one row a document and one a verified hit.
+DataFrame functions only. Documents are taken apart once, and their words stored with a number
+for each row. Two passes read them: one counts the benchmark's words, one finds prefix words. In
+both a filter of a fixed size lets only words through that may matter, so what meets the
+windows is a few words with the words around them, however large the benchmark is; no side is
+broadcast unless Spark finds it small. Shuffled otherwise are one row a document, one a hit.
 
 Results: null and empty texts, and items without words, have no hits; rows with a null id or
 a repeated one are each reported; an item without id marks words but isn't counted; without
-items nothing is hit. Only ids and texts are read, so other columns may have any name.
+items nothing is hit; an empty documents table gives an empty result. Only ids and texts are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stored
+from .common import KeyFilter, fold, stored
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows in one broadcast block: about 200 bytes each.
-WINDOWS = 100_000
 
 
 def tokens(text: str) -> Column:
@@ -43,15 +42,29 @@ def windows(items: DataFrame, size: int, item_id: str, text: str) -> DataFrame:
     return w.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, size))).alias("window")).distinct()
 
 
-def prefixed(wins: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Adds to each window its rarest word, that word's place, and the window's length."""
-    places = wins.select("item", "window", F.posexplode("window").alias("at", "word"))
-    vocabulary = places.select("word").distinct()
-    words = docs.select(F.explode(tokens(text)).alias("word"))
-    seen = words.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+def prefixed(wins: DataFrame, words: DataFrame) -> DataFrame:
+    """(window, id, word, at, len): each distinct window's rarest word and that word's place.
+
+    ``words``: (row, w) of all documents.
+    """
+    places = wins.select("window").distinct().select("window", F.posexplode("window").alias("at", "word"))
+    wanted = KeyFilter(places, F.col("word"))
+    seen = words.select(F.explode("w").alias("word")).where(wanted.may_have(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
     least = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at"))
-    best = places.join(F.broadcast(seen), "word", "left").groupBy("item", "window").agg(least.alias("p"))
-    return best.select("item", "window", F.col("p.word").alias("word"), F.col("p.at").alias("at"), F.size("window").alias("len"))
+    best = places.join(seen, "word", "left").groupBy("window").agg(least.alias("p"))
+    out = best.select("window", F.monotonically_increasing_id().alias("id"), F.col("p.word").alias("word"), F.col("p.at").alias("at"), F.size("window").alias("len"))
+    return stored(out, "prefixes")
+
+
+def verified(words: DataFrame, prefixes: DataFrame, window: int) -> DataFrame:
+    """(row, id, start, len): all places where a document's row holds a window."""
+    wanted = KeyFilter(prefixes, F.col("word"))
+    first = F.greatest(F.col("pos") - (window - 1), F.lit(0))
+    met = words.select("row", "n", "w", F.posexplode("w").alias("pos", "word")).where(wanted.may_have(F.col("word")))
+    met = met.select("row", "n", "pos", "word", first.alias("first"), F.slice("w", first + 1, 2 * window - 1).alias("near"))
+    start = F.col("pos") - F.col("at")
+    there = F.slice("near", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.col("len")) == F.col("window")
+    return met.join(prefixes, "word").where((start >= 0) & (start + F.col("len") <= F.col("n")) & there).select("row", "id", start.alias("start"), "len")
 
 
 def decontaminate(
@@ -62,29 +75,16 @@ def decontaminate(
     ``spans`` are the (start, len) of verified windows, in words.
     """
     wins = stored(windows(items, window, item_id, item_text), "windows")
-    blocks = max(1, -(-wins.count() // WINDOWS))
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sentinel = wins.sparkSession.range(1).select(
-        F.lit(None).cast("string").alias("item"), F.array().cast("array<string>").alias("window"), F.lit("").alias("word"), F.lit(0).alias("at"), F.lit(0).alias("len")
-    )
-    parts = []
-    for b in range(blocks):
-        own = wins.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-        table = stored(prefixed(own, d, "text"), "prefixes")
-        table = table.union(sentinel) if b == 0 else table
-        # the word '' stands before each document's words and meets the sentinel: its one sure row
-        w = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", tokens("text").alias("w"))
-        w = w.select("row", "doc_id", "w", F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "word"))
-        start = F.col("pos") - 1 - F.col("at")
-        is_there = (start >= 0) & (start + F.col("len") <= F.size("w")) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("window"))
-        t = F.broadcast(table.withColumnRenamed("word", "prefix"))
-        met = w.join(t, (F.col("word") == F.col("prefix")) & ((F.col("len") == 0) | is_there))
-        parts.append(met.select("row", "doc_id", F.when(F.col("len") == 0, F.size("w")).alias("n_words"), "item", start.alias("start"), "len"))
-    met = reduce(DataFrame.union, parts)
-    span = F.when(F.col("len") > 0, F.struct("start", "len"))
-    g = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sort_array(F.collect_set(span)).alias("spans"), F.sort_array(F.collect_set("item")).alias("items")
-    )
+    w = tokens(text)
+    words = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.size(w).alias("n"), w.alias("w")), "words")
+    prefixes = prefixed(wins, words)
+    hits = stored(verified(words.where("n > 0"), prefixes, window), "hits")
+    spans = hits.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("spans"))
+    of = prefixes.join(wins, "window").select("id", "item")
+    named = hits.select("row", "id").distinct().join(of, "id").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    g = words.select("row", "doc_id", F.col("n").alias("n_words")).join(spans.join(named, "row", "left"), "row", "left")
+    none = F.array().cast("array<struct<start:int,len:int>>")
+    g = g.withColumn("spans", F.coalesce("spans", none)).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     zero = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n"))
 
     def cover(acc: Column, x: Column) -> Column:
