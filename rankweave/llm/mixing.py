@@ -8,8 +8,10 @@ order; its blocks are taken from a seeded block on, round and round, until the q
 So most documents are taken whole, and a run's first and last in part.
 
 DataFrame functions only. Shards are cut by a hash of the id, so a source with a third of all
-rows is dealt over all of them. Tables of sources and of shards are small (one row per
-source, one per source and about 512 documents).
+rows is dealt over all of them. A source's blocks reach its shards down a tree: each node
+hands its blocks to at most ``FAN`` children by their highest quotients. So however many
+shards there are, none of the rankings holds more than a few thousand quotients; only the
+sources themselves, one row each, are ranked together.
 
 Results: null or empty texts have size 0 and are taken 0 times; a null source is a source of
 its own, last in order; repeated rows count each time; a table without words, or an empty
@@ -26,6 +28,8 @@ from .common import SPACE, stored
 #: At most so many times is a document taken.
 REPEATS = 3
 SHARD_DOCS = 512
+#: Children of a node in the tree of shards.
+FAN = 256
 MOST_BLOCK = 256
 
 
@@ -63,6 +67,26 @@ def apportion(parties: DataFrame, group: str, party: str, weight: str, seats: st
     )
 
 
+def to_shards(cells: DataFrame, plan: DataFrame, shards: int) -> DataFrame:
+    """Adds ``quota`` to (key, shard, cell_size): the key's ``blocks`` of ``plan``, dealt down the tree.
+
+    A node of a level is the run of ``FAN`` nodes of the level below with the same quotient of
+    their numbers; the lowest level's nodes are the shards.
+    """
+    width = 1
+    while width * FAN < shards:
+        width *= FAN
+    above = plan.select("key", F.lit(0).cast("long").alias("up"), "blocks")
+    while width:
+        level = cells.groupBy("key", F.floor(F.col("shard") / width).alias("node")).agg(F.sum("cell_size").alias("w"))
+        level = level.withColumn("up", F.floor(F.col("node") / FAN) if width * FAN < shards else F.lit(0).cast("long"))
+        level = level.join(above, ["key", "up"]).withColumn("group", F.struct("key", "up"))
+        dealt = stored(apportion(level, "group", "node", "w", "blocks").select("key", "node", "quota"), "quotas")
+        above = dealt.select("key", F.col("node").alias("up"), F.col("quota").alias("blocks"))
+        width //= FAN
+    return cells.join(dealt.withColumnRenamed("node", "shard"), ["key", "shard"])
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """Adds ``target`` to (key, source_size, ...): shares by weight, filled up to the caps."""
     one = Window.partitionBy(F.lit(1))
@@ -83,12 +107,14 @@ def mix(docs: DataFrame, seed: int = 42, doc_id: str = "doc_id", text: str = "te
     """
     key = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source)))
     base = stored(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), key.alias("key"), words_in(text).alias("size")),
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), key.alias("key"), words_in(text).alias("size"), F.monotonically_increasing_id().alias("row")),
         "mix",
     )
     shards = max(1, -(-base.count() // SHARD_DOCS))
-    base = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)))
-    cells = base.groupBy("key", "shard").agg(F.sum("size").alias("cell_size"))
+    # rows without id are dealt by their number
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row")))
+    base = base.withColumn("shard", F.pmod(F.xxhash64(name, F.lit(seed)), F.lit(shards)))
+    cells = stored(base.groupBy("key", "shard").agg(F.sum("size").alias("cell_size")), "cells")
     plan = targets(cells.groupBy("key").agg(F.sum("cell_size").alias("source_size")))
     one = Window.partitionBy(F.lit(1))
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(one)
@@ -96,7 +122,8 @@ def mix(docs: DataFrame, seed: int = 42, doc_id: str = "doc_id", text: str = "te
     plan = plan.withColumn("block", block).withColumn("all", F.lit(1))
     plan = plan.withColumn("seats", F.round(F.sum("target").over(one) / F.col("block")).cast("long"))
     plan = apportion(plan, "all", "key", "target", "seats").withColumnRenamed("quota", "blocks").drop("all", "seats")
-    cells = apportion(cells.join(plan, "key"), "key", "shard", "cell_size", "blocks")
+    plan = stored(plan, "plan")
+    cells = to_shards(cells, plan, shards).join(plan, "key")
     use = F.least(F.col("quota") * F.col("block"), REPEATS * F.col("cell_size"))
     size = F.greatest(F.col("cell_size"), F.lit(1))
     cells = cells.select(
@@ -104,7 +131,7 @@ def mix(docs: DataFrame, seed: int = 42, doc_id: str = "doc_id", text: str = "te
         F.floor(use / size).alias("passes"), (use % size).alias("rest"),
         (F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.ceil(size / F.col("block"))) * F.col("block")).alias("at"),
     )
-    order = Window.partitionBy("key", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
+    order = Window.partitionBy("key", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size", "row")
     upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     d = base.withColumn("b", upto).withColumn("a", F.col("b") - F.col("size")).join(cells, ["key", "shard"])
     end = F.col("at") + F.col("rest")
@@ -127,9 +154,10 @@ def mixed_documents(docs: DataFrame, seed: int = 42, doc_id: str = "doc_id", tex
     """
     how = mix(docs, seed, doc_id, text, source).groupBy("doc_id").agg(F.min(F.struct("size", "passes", "more", "more_at", "head")).alias("_mix"))
     how = stored(how.select(F.col("doc_id").alias("_mix_id"), "_mix"), "mixed")
-    d = docs.join(how, docs[doc_id].eqNullSafe(F.col("_mix_id")))
-    full, m = F.col(text), F.col("_mix")
-    words = words_of(text)
+    # the row as one struct, so that no name of its columns meets ours
+    d = docs.select(F.struct("*").alias("_doc")).join(how, F.col("_doc")[doc_id].eqNullSafe(F.col("_mix_id")))
+    full, m = F.col("_doc")[text], F.col("_mix")
+    words = F.array_remove(F.split(F.coalesce(full, F.lit("")), SPACE), "")
 
     def part(start: Column, n: Column) -> Column:
         cut = F.array_join(F.slice(words, start + 1, n), " ")
@@ -137,8 +165,8 @@ def mixed_documents(docs: DataFrame, seed: int = 42, doc_id: str = "doc_id", tex
 
     start, more, head = (m[c].cast("int") for c in ("more_at", "more", "head"))
     copies = F.concat(F.array_repeat(full, m["passes"].cast("int")), part(start, more), part(F.lit(0), head))
-    d = d.where(m["passes"] + m["more"] + m["head"] > 0).withColumn("_text", F.explode(copies))
-    now = {text: F.col("_text")}
+    d = d.where(m["passes"] + m["more"] + m["head"] > 0).select("_doc", F.explode(copies).alias("_copy"))
+    now = {text: F.col("_copy")}
     if chars in docs.columns:
-        now[chars] = F.length("_text").cast(docs.schema[chars].dataType)
-    return d.select(*[now.get(c, docs[c]).alias(c) for c in docs.columns])
+        now[chars] = F.length("_copy").cast(docs.schema[chars].dataType)
+    return d.select(*[now.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
