@@ -21,8 +21,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bound_arrow
-
 #: Fixed values of the tokenizer format: its split pattern and its byte alphabet.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
@@ -144,7 +142,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, text: s
     ``tokenizer_path`` is read on the driver's machine and on each worker's; it is a file of
     the installed tokenizer package, not an input table.
     """
-    bound_arrow(docs.sparkSession)
     kind = docs.schema[doc_id].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
