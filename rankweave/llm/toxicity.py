@@ -13,12 +13,14 @@ A Nystrom machine is a weighted sum of landmark kernels, hence one weight for ea
 subsequence. That vector is what workers use, so a string costs its own length only.
 
 The machine is fitted on a bounded sample of labelled rows (``per_label`` documents of each
-label, by a hash of the id); every document is scored on its whole text.
-
-Results: null and empty texts have a score, the curve's value without any string; a null id
-is not held out and not learned from; labels other than 0 and 1, and null ones, are not
-learned; without both labels all scores are 0; repeated rows are each scored; only doc_id
-and text (and doc_id and toxic of the labels) are read.
+label, by a hash of the id) and, of those, on at most ``CLEAN_STRINGS`` strings of clean
+documents and ``LANDMARKS`` + ``HARD`` landmarks; every document is scored on its whole text.
+
+Results: null and empty texts have a score, the curve's value without any string, and
+``without_toxic`` always keeps them; a null id is not held out and not learned from; labels
+other than 0 and 1, and null ones, are not learned; without both labels all scores are below
+1e-8; repeated rows are each scored; an empty table gives an empty result; only doc_id and
+text (and doc_id and toxic of the labels) are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_arrow, crc_mod, held_out
+from .common import crc_mod, held_out
 from .near_dedup import WordHashes, bands, shingles, signature
 
 BITS = 18
@@ -327,7 +329,6 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int, doc_id: str, text:
 
 def scored(docs: DataFrame, machine: Machine, doc_id: str, text: str, threshold: float) -> DataFrame:
     spark = docs.sparkSession
-    bound_arrow(spark)
     shared = spark.sparkContext.broadcast((machine.weights.astype(np.float32), machine.bias, machine.curve))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +358,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | N
 def without_toxic(docs: DataFrame, labels: DataFrame, per_label: int = 1500, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """``docs`` with all its columns, less the rows whose score reaches ``threshold``."""
     machine = train(docs, labels, per_label, doc_id, text, label)
-    bound_arrow(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((machine.weights.astype(np.float32), machine.bias, machine.curve))
     at = docs.columns.index(text)
 
@@ -366,8 +366,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, per_label: int = 1500, thr
         m.weights, m.bias, m.curve = shared.value
         kept: dict[str, float] = {}
         for batch in batches:
-            texts = batch.column(at)
-            p = m.probability(m.evidence([texts[i].as_py() or "" for i in range(len(texts))], kept))
-            yield batch.filter(pa.array(p < threshold))
+            texts = [t.as_py() or "" for t in batch.column(at)]
+            p = m.probability(m.evidence(texts, kept))
+            yield batch.filter(pa.array((p < threshold) | np.array([not t.strip() for t in texts], bool)))
 
     return docs.mapInArrow(run, docs.schema)
