@@ -49,6 +49,20 @@ def rows():
     return out
 
 
+@pytest.fixture
+def session_setting(spark):
+    """Sets a session setting for one test."""
+    before = {}
+
+    def put(key, value):
+        before[key] = spark.conf.get(key, None)
+        spark.conf.set(key, value)
+
+    yield put
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_token_counts(spark, rows):
     got = {r["doc_id"]: r for r in count_tokens(frame(spark, rows), BPE).collect()}
     reference = Tokenizer.from_file(BPE)
@@ -149,9 +163,9 @@ def test_exact_dedup(spark, rows, digits):
     assert exact_dedup(frame(spark, [])).isEmpty()
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
-def test_line_dedup(spark, monkeypatch, most):
-    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+@pytest.mark.parametrize("most", ["10m", "-1"])
+def test_line_dedup(spark, session_setting, most):
+    session_setting("spark.sql.autoBroadcastJoinThreshold", most)
     pages = [(k, "h", ["menu", f"own {k}", "menu"] + (["some"] if k < 2 else [])) for k in range(6)] + [(9, "solo", ["menu"]), (10, "h", []), (None, "", [])]
     p = spark.createDataFrame(pages, "page_id long, host string, lines array<string>")
     got = {r["page_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.drop_boilerplate(p, F.col("lines"), F.col("host")).collect()}
@@ -214,6 +228,7 @@ def test_lm_scores(spark, rows):
     for b in range(40):
         own = [x for x in held if x[0] == b]
         weights[b] = ((len(own) * em(own) if own else 0) + 5 * overall + 1 / 3) / (len(own) + 6)
+    weights[0] = np.r_[0, weights[0][1:]] / weights[0][1:].sum()  # no bigram after a context never seen
     for i in tokens:
         base = sum(math.log10((every[0][w] + 1) / (n + v + 1)) for w in tokens[i])
         score = sum(math.log10(weights[b] @ p) for b, p in parts(i, *every))
