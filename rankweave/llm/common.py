@@ -122,31 +122,34 @@ FILTER_WORDS = 1 << 17
 class KeyFilter:
     """Bloom filter of a column of keys, of a fixed size, built and asked in the JVM.
 
-    ``may_have`` is true for every key that was put in, and for a small share of others as
-    long as keys are fewer than a tenth of the bits; with more keys it only lets more rows
-    pass, up to all. So it thins what a shuffle moves, and what follows must be exact.
+    A key sets three bits of one word. ``may_have`` is true for every key that was put in, and
+    for a small share of others as long as keys are fewer than a tenth of the bits; with more
+    keys it only lets more rows pass, up to all. So it thins what a shuffle moves, and what
+    follows must be exact.
     """
 
     def __init__(self, keys: DataFrame, key: Column):
-        at = F.explode(F.array(*self._places(F.xxhash64(key))))
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))
-        words = keys.where(key.isNotNull()).select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("b"))
-        every = keys.sparkSession.range(FILTER_WORDS).withColumnRenamed("id", "w").join(words, "w", "left").select("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+        h = F.xxhash64(key)
+        words = keys.where(key.isNotNull()).groupBy(self._word(h).alias("w")).agg(F.bit_or(self._mask(h)).alias("b"))
+        every = keys.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("w")).join(words, "w", "left").select("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
         ordered = F.array_sort(F.collect_list(F.struct("w", "b")))
         self.bits = stored(every.agg(F.transform(ordered, lambda x: x["b"]).alias("bits")), "filter")
 
     @staticmethod
-    def _places(h: Column) -> list[Column]:
-        most = F.lit(FILTER_WORDS * 64 - 1)
-        return [F.shiftrightunsigned(h, k).bitwiseAND(most) for k in (0, 20, 40)]
+    def _word(h: Column) -> Column:
+        return F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int")
+
+    @staticmethod
+    def _mask(h: Column) -> Column:
+        one = F.lit(1).cast("long")
+        a, b, c = (F.call_function("shiftleft", one, F.shiftrightunsigned(h, k).bitwiseAND(F.lit(63)).cast("int")) for k in (0, 10, 20))
+        return a.bitwiseOR(b).bitwiseOR(c)
 
     def may_have(self, key: Column) -> Column:
         """Whether ``key`` may be among the keys; null is not."""
-        found = F.lit(True)
-        for p in self._places(F.xxhash64(key)):
-            word = F.get(self.bits.scalar(), F.shiftright(p, 6).cast("int"))
-            found = found & (F.call_function("shiftrightunsigned", word, p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
-        return F.coalesce(found & key.isNotNull(), F.lit(False))
+        h = F.xxhash64(key)
+        mask = self._mask(h)
+        return key.isNotNull() & (F.get(self.bits.scalar(), self._word(h)).bitwiseAND(mask) == mask)
 
 
 def without_ids(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> DataFrame:
