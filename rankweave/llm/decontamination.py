@@ -50,6 +50,7 @@ def prefixed(wins: DataFrame, words: DataFrame) -> DataFrame:
     places = wins.select("window").distinct().select("window", F.posexplode("window").alias("at", "word"))
     wanted = KeyFilter(places, F.col("word"))
     seen = words.select(F.explode("w").alias("word")).where(wanted.may_have(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
+    seen = stored(seen, "seen")  # both sides of the join come from a shuffle, so Spark can split a word's rows
     least = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at"))
     best = places.join(seen, "word", "left").groupBy("window").agg(least.alias("p"))
     out = best.select("window", F.monotonically_increasing_id().alias("id"), F.col("p.word").alias("word"), F.col("p.at").alias("at"), F.size("window").alias("len"))
