@@ -1,15 +1,36 @@
-"""Cutting lineage by checkpoints in the folder that the cluster names."""
+"""Cutting lineage by written tables in the folder that the cluster names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a local session may leave it unset (a folder of the warehouse)."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed: to ``spark.checkpoint.dir``, or where that is unset, under the warehouse."""
+    """``df`` written to the shared folder and read back; the files go when the application ends."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may be gone already
+        pass
