@@ -48,6 +48,17 @@ def pad(ids: str, length: int, pad_id: int = 0, left: bool = False) -> tuple[Col
     return (F.concat(pads, cut), F.concat(zeros, ones)) if left else (F.concat(cut, pads), F.concat(ones, zeros))
 
 
+def segments(ids: str, length: int, left: bool = False, pad_segment: int | None = None) -> Column:
+    """Segment numbers of one sequence: 0, and for padding 4 on the left and 0 on the right unless given."""
+    other = (4 if left else 0) if pad_segment is None else pad_segment
+    return pad_of(F.transform(F.slice(F.col(ids), 1, length), lambda _: F.lit(0)), length, other, left)
+
+
+def pad_of(values: Column, length: int, fill: int, left: bool) -> Column:
+    more = F.array_repeat(F.lit(fill), F.greatest(F.lit(length) - F.size(values), F.lit(0)))
+    return F.concat(more, values) if left else F.concat(values, more)
+
+
 def encode(docs: DataFrame, vocab: DataFrame, key: str, text: str, length: int, unknown: int = 1, begin: int = 2, end: int = 3, left: bool = False) -> DataFrame:
     """(i, input_ids, attention_mask, token_type_ids): begin, words, end, padding."""
     t = docs.select(F.col(key).alias("i"), F.posexplode_outer(F.slice(words(text), 1, length - 2)).alias("p", "token"))
@@ -55,4 +66,4 @@ def encode(docs: DataFrame, vocab: DataFrame, key: str, text: str, length: int,
     seq = t.groupBy("i").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("p", "id")))).alias("e"))
     seq = seq.withColumn("ids", F.concat(F.array(F.lit(begin)), F.col("e.id"), F.array(F.lit(end))))
     ids, mask = pad("ids", length, 0, left)
-    return seq.select("i", ids.alias("input_ids"), mask.alias("attention_mask"), F.array_repeat(F.lit(0), length).alias("token_type_ids"))
+    return seq.select("i", ids.alias("input_ids"), mask.alias("attention_mask"), segments("ids", length, left).alias("token_type_ids"))

@@ -16,24 +16,41 @@ from . import sparse
 from .storage import cut
 
 
+#: Labels of a node that one task ranks; larger nodes are ranked by a sort over all tasks.
+RANK_ROWS = 2_000_000
+
+
 def depth_for(labels: int, size: int = 100) -> int:
     return int(math.log2(labels // size + 1))
 
 
-def split(scored: DataFrame) -> DataFrame:
-    """(i, node, score) to (i, node) one level down."""
-    w = Window.partitionBy("node")
-    rank = F.row_number().over(w.orderBy("score", "i"))
-    n = F.count("*").over(w)
-    right = F.when(n > 1, (rank > F.floor(n / 2)).cast("long")).otherwise(F.lit(0).cast("long"))
-    return scored.withColumn("_r", right).select("i", (F.col("node") * 2 + F.col("_r")).alias("node"))
+def depth_for_clusters(clusters: int) -> int:
+    return int(math.log2(clusters))
+
+
+def ranked(df: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
+    """Adds ``rank`` from 1 in each group and the group's size ``n``; ``most``: rows of the largest group."""
+    if most <= RANK_ROWS:
+        w = Window.partitionBy(group)
+        return df.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w))
+    placed = cut(sparse.numbered(df, group, *order))
+    starts = placed.groupBy(group).agg(F.min("pos").alias("_start"), F.count("*").alias("n"))
+    return placed.join(starts, group).withColumn("rank", F.col("pos") - F.col("_start") + 1).drop("pos", "_start")
+
+
+def split(scored: DataFrame, most: int = 0) -> DataFrame:
+    """(i, node, score) to (i, node) one level down; ``most``: labels of the largest node."""
+    right = F.when(F.col("n") > 1, (F.col("rank") > F.floor(F.col("n") / 2)).cast("long")).otherwise(F.lit(0).cast("long"))
+    return ranked(scored, "node", ["score", "i"], most).withColumn("_r", right).select("i", (F.col("node") * 2 + F.col("_r")).alias("node"))
 
 
 def two_means(m: DataFrame, depth: int, spherical: bool = True, max_iter: int = 20) -> DataFrame:
     """(i, code) by balanced 2-means; the first centres are a node's largest and smallest label."""
     m = cut(sparse.row_l2(m) if spherical else m)  # read in every round
     nodes = m.select("i").distinct().withColumn("node", F.lit(1).cast("long"))
-    for _ in range(depth):
+    labels = nodes.count()
+    for level in range(depth):
+        most = (labels >> level) + level + 1  # halves differ by one label at most
         ends = nodes.groupBy("node").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo < hi")
         high = ends.join(m, ends["hi"] == m["i"]).select("node", "j", "v")
         low = ends.join(m, ends["lo"] == m["i"]).select("node", "j", (-F.col("v")).alias("v"))
@@ -41,7 +58,7 @@ def two_means(m: DataFrame, depth: int, spherical: bool = True, max_iter: int =
         was = None
         for _ in range(max_iter):
             s = nodes.join(m, "i").join(toward, ["node", "j"]).groupBy("i").agg(F.sum(F.col("v") * F.col("d")).alias("score"))
-            halves = cut(split(nodes.join(s, "i", "left").select("i", "node", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))))
+            halves = cut(split(nodes.join(s, "i", "left").select("i", "node", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score")), most))
             if was is not None and halves.join(was, ["i", "node"], "left_anti").isEmpty():
                 break
             was = halves
@@ -65,10 +82,11 @@ def centroids(nodes: DataFrame, m: DataFrame, spherical: bool) -> DataFrame:
 def kd_tree(m: DataFrame, depth: int, dims: int, cyclic: bool = False) -> DataFrame:
     """(i, code): median splits on feature level % dims, or in ``cyclic`` runs of depth / dims levels."""
     nodes = m.select("i").distinct().withColumn("node", F.lit(1).cast("long"))
+    labels = nodes.count()
     for d in range(depth):
         f = (d // max(1, depth // dims)) % dims if cyclic else d % dims
         own = m.where(F.col("j") == f).select("i", F.col("v").alias("score"))
-        nodes = split(nodes.join(own, "i", "left").select("i", "node", F.coalesce("score", F.lit(0.0)).alias("score")))
+        nodes = split(nodes.join(own, "i", "left").select("i", "node", F.coalesce("score", F.lit(0.0)).alias("score")), (labels >> d) + d + 1)
     return nodes.select("i", (F.col("node") - (1 << depth)).alias("code"))
 
 
@@ -87,9 +105,9 @@ def projected(m: DataFrame, dims: int, seed: int) -> DataFrame:
 
 def ordinal_bins(z: DataFrame, kdim: int) -> DataFrame:
     """Each column's ranks in steps of equal size, as q from 0."""
-    w = Window.partitionBy("j")
-    step = F.ceil(F.count("*").over(w) / F.lit(kdim))
-    return z.withColumn("q", F.floor((F.row_number().over(w.orderBy("v", "i")) - 1) / step))
+    most = z.groupBy("j").count().agg(F.max("count")).first()[0] or 0
+    placed = ranked(z, "j", ["v", "i"], most)
+    return placed.withColumn("q", F.floor((F.col("rank") - 1) / F.ceil(F.col("n") / F.lit(kdim)))).drop("rank", "n")
 
 
 def uniform_bins(z: DataFrame, kdim: int) -> DataFrame:
@@ -117,7 +135,9 @@ def balanced_ordinal(m: DataFrame, depth: int, seed: int = 0) -> DataFrame:
 
 
 def random_codes(labels: DataFrame, depth: int, seed: int = 0) -> DataFrame:
-    return labels.select("i", F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << depth)).alias("code"))
+    """A code for each label by a seeded hash: of the label, if it is a whole number, else of its crc32."""
+    key = F.crc32(F.col("i").cast("binary")) if labels.schema["i"].dataType.simpleString() == "string" else F.col("i")
+    return labels.select("i", F.floor(sparse.hashed_unit(key, seed) * (1 << depth)).alias("code"))
 
 
 def one_hot(codes: DataFrame) -> DataFrame:
@@ -149,5 +169,18 @@ def generate(m: DataFrame, kdim: int, depth: int, algorithm: int = SKMEANS, seed
     raise ValueError(f"unknown algorithm {algorithm}")
 
 
+#: Index methods by name.
+METHODS = {"none": SKMEANS, "skmeans": SKMEANS, "kmeans": KMEANS, "kdtree": KD, "random": RANDOM, "ordinal": ORDINAL, "uniform": RANDOM_UNIFORM}
+
+
+def codes_by_name(features: DataFrame, name: str | None, size: int = 100, max_iter: int = 20, seed: int = 0) -> DataFrame:
+    """(i, code) by a method's name; the depth follows from clusters of ``size`` labels."""
+    key = (name or "none").lower()
+    if key not in METHODS:
+        raise ValueError(f"unknown index method {name!r}; there are {', '.join(METHODS)}")
+    depth = depth_for(features.select("i").distinct().count(), size)
+    return generate(features, 2, depth, METHODS[key], seed, max_iter)
+
+
 def parents(code: Column, branching: int = 2) -> Column:
     return F.floor(code / branching)

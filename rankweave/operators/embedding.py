@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sparse
+from .storage import cut
 
 
 def pifa(y: DataFrame, x: DataFrame, normalise: bool = True) -> DataFrame:
@@ -25,22 +27,50 @@ def bi_normalised(y: DataFrame) -> DataFrame:
     return t.withColumn("_r", row).withColumn("_c", col).select("i", "j", (F.col("v") / F.sqrt(F.col("_r")) / F.sqrt(F.col("_c"))).alias("v"))
 
 
-def spectral(y: DataFrame, dims: int) -> DataFrame:
+def spectral(y: DataFrame, dims: int, rounds: int = 8, more: int = 8) -> DataFrame:
     """(i, j, v): left singular vectors 2 to dims + 1 of the scaled matrix; signs are fixed so
-    that each vector's largest entry is positive."""
-    from pyspark.mllib.linalg import SparseVector
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    b = bi_normalised(y)
-    cols = b.select("j").distinct().withColumn("_k", F.row_number().over(Window.orderBy("j")) - 1)
-    rows = sparse.packed(b.join(F.broadcast(cols), "j").select("i", F.col("_k").alias("j"), "v"))
-    width = cols.count()
-    matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r["i"], SparseVector(width, r["idx"], r["val"]))))
-    u = matrix.computeSVD(dims + 1, computeU=True).U
-    flat = u.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector])).toDF("i long, val array<double>")
-    e = flat.select("i", F.posexplode("val").alias("j", "v")).where("j > 0").withColumn("j", F.col("j") - 1)
-    sign = F.signum(F.max_by("v", F.abs("v")).over(Window.partitionBy("j")))
-    return e.withColumn("v", F.col("v") * sign)
+    that each vector's largest entry is positive.
+
+    Randomised subspace iteration (Halko et al. 2011): a label's row of the basis is one array
+    of dims + 1 + ``more`` numbers; products with B B' are two grouped sums, and the driver
+    sees only matrices as large as the basis is wide.
+    """
+    b = cut(bi_normalised(y).select("i", "j", "v"))
+    width = dims + 1 + more
+    key = F.crc32(F.col("i").cast("string").cast("binary"))
+    start = [F.sqrt(-2 * F.log(sparse.hashed_unit(key, 2 * c))) * F.cos(2 * F.pi() * sparse.hashed_unit(key, 2 * c + 1)) for c in range(width)]
+    q = cut(b.select("i").distinct().select("i", F.array(*start).alias("q")))
+
+    def sums(m: DataFrame, by: str) -> DataFrame:
+        return m.groupBy(by).agg(F.array(*[F.sum(F.col("v") * F.col("q")[c]) for c in range(width)]).alias("q"))
+
+    def gram_of(left: str, right: str, m: DataFrame) -> np.ndarray:
+        cells = m.agg(*[F.sum(F.col(left)[c] * F.col(right)[d]).alias(f"g{c}_{d}") for c in range(width) for d in range(c, width)]).first()
+        g = np.zeros((width, width))
+        for c in range(width):
+            for d in range(c, width):
+                g[c, d] = g[d, c] = cells[f"g{c}_{d}"] or 0.0
+        return g
+
+    def turned(m: DataFrame, r: np.ndarray) -> DataFrame:
+        rows = [F.aggregate(F.zip_with("q", F.array(*map(F.lit, r[:, c].tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for c in range(r.shape[1])]
+        return m.select("i", F.array(*rows).alias("q"))
+
+    def whiten(m: DataFrame) -> DataFrame:
+        value, base = np.linalg.eigh(gram_of("q", "q", m))
+        scale = np.where(value > 1e-12 * max(value.max(), 1e-300), 1 / np.sqrt(np.maximum(value, 1e-300)), 0.0)
+        return turned(m, base * scale)
+
+    for _ in range(rounds):
+        q = cut(whiten(q))
+        q = cut(sums(b.join(sums(b.join(q, "i"), "j"), "j"), "i"))
+    basis = cut(whiten(q))
+    image = sums(b.join(sums(b.join(basis, "i"), "j"), "j"), "i").withColumnRenamed("q", "r")
+    value, turn = np.linalg.eigh(gram_of("q", "r", basis.join(image, "i")))
+    best = turn[:, np.argsort(-value, kind="stable")[: dims + 1]]
+    e = cut(turned(basis, best).select("i", F.posexplode("q").alias("j", "v")).where("j > 0").withColumn("j", F.col("j") - 1))
+    sign = e.groupBy("j").agg(F.signum(F.max_by("v", F.abs("v"))).alias("_s"))
+    return e.join(F.broadcast(sign), "j").select("i", "j", (F.col("v") * F.col("_s")).alias("v"))  # a row a dimension
 
 
 def pooled(vectors: DataFrame, label: str, values: str) -> DataFrame:
@@ -49,7 +79,14 @@ def pooled(vectors: DataFrame, label: str, values: str) -> DataFrame:
     return sparse.row_l2(e.groupBy("i", "j").agg(F.avg("v").alias("v")))
 
 
-def create(y: DataFrame, x: DataFrame, method: str) -> DataFrame:
+def create(y: DataFrame, x: DataFrame, method: str | None) -> DataFrame | None:
+    """Label features by a method's name; "none" gives None, and a path (.npz, .npy, .parquet) is read."""
+    if method is None or method.lower() == "none":
+        return None
+    if method.endswith((".npz", ".npy", ".parquet")):
+        from ..sources.matrices import read_features
+
+        return read_features(y.sparkSession, method)
     if method == "pifa":
         return pifa(y, x, normalise=False)
     if method == "homer":

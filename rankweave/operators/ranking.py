@@ -43,28 +43,58 @@ def round_robin(preds: Sequence[DataFrame]) -> DataFrame:
     return sparse.union_max(marked).withColumn("v", F.col("v") / n)
 
 
-def hit_counts(truth: DataFrame, pred: DataFrame, k: int) -> DataFrame:
-    """(i, k, hits, n_truth): running number of hits on ranks 1 to k for each row of the truth."""
-    rows = truth.groupBy("i").agg(F.count("*").alias("n_truth"))
+def hit_counts(truth: DataFrame, pred: DataFrame, k: int, rows: DataFrame | None = None) -> DataFrame:
+    """(i, k, hits, n_truth): running number of hits on ranks 1 to k for each of ``rows`` (i).
+
+    Without ``rows`` they are those of the truth; rows without labels have n_truth 0.
+    """
+    counted = truth.groupBy("i").agg(F.count("*").alias("n_truth"))
+    if rows is not None:
+        counted = rows.select("i").distinct().join(counted, "i", "left").withColumn("n_truth", F.coalesce("n_truth", F.lit(0)))
     hits = top_k(pred, k).join(truth.select("i", "j"), ["i", "j"]).select("i", F.col("rank").alias("k"), F.lit(1).alias("hit"))
     ranks = truth.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("k"))
-    frame = rows.crossJoin(F.broadcast(ranks)).join(hits, ["i", "k"], "left")
+    frame = counted.crossJoin(F.broadcast(ranks)).join(hits, ["i", "k"], "left")
     upto = Window.partitionBy("i").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     return frame.select("i", "k", F.sum(F.coalesce("hit", F.lit(0))).over(upto).alias("hits"), "n_truth")
 
 
-def precision_recall(truth: DataFrame, pred: DataFrame, k: int = 10) -> DataFrame:
-    """(k, precision, recall); truth rows without prediction count, with no hit."""
-    c = hit_counts(truth, pred, k)
-    g = c.groupBy("k").agg(F.sum("hits").alias("h"), F.count("*").alias("n"), F.avg(F.col("hits") / F.col("n_truth")).alias("recall"))
+def precision_recall(truth: DataFrame, pred: DataFrame, k: int = 10, rows: DataFrame | None = None) -> DataFrame:
+    """(k, precision, recall) over ``rows`` (i), or else the truth's rows.
+
+    Rows without prediction count with no hit; rows without labels have recall 0.
+    """
+    c = hit_counts(truth, pred, k, rows)
+    part = F.when(F.col("n_truth") > 0, F.col("hits") / F.col("n_truth")).otherwise(0.0)
+    g = c.groupBy("k").agg(F.sum("hits").alias("h"), F.count("*").alias("n"), F.avg(part).alias("recall"))
     return g.select("k", (F.col("h") / (F.col("n") * F.col("k"))).alias("precision"), "recall")
 
 
+def formatted(metrics: DataFrame) -> DataFrame:
+    """Precision and recall as percentages with two decimals."""
+    return metrics.select("k", *(F.format_string("%.2f", 100 * F.col(c)).alias(c) for c in ("precision", "recall")))
+
+
 def expand_codes(codes: DataFrame, label_codes: DataFrame) -> DataFrame:
     """Matched clusters (i, code, v) to their labels (i, label, parent)."""
     return codes.join(label_codes, "code").groupBy("i", "label").agg(F.sum("v").alias("parent"))
 
 
+def optimal_codes(z: DataFrame, k: int) -> DataFrame:
+    """Each row's k best codes of z = Y C, to sum 1."""
+    return sparse.row_l1(top_k(z, k).drop("rank")).select("i", "j", "v")
+
+
+def repacked(slots: DataFrame, row: str, labels: str, mask: str | None = None) -> DataFrame:
+    """(i, slot, label, v): the label slots of an array column as entries of value 1.
+
+    ``mask``: an array column; slots where it is 0 are left out.
+    """
+    found = slots.select(F.col(row).alias("i"), *([F.col(mask).alias("_m")] if mask else []), F.posexplode(labels).alias("slot", "label"))
+    if mask:
+        found = found.where(F.get("_m", F.col("slot")) != 0)
+    return found.select("i", (F.col("slot") + 1).cast("long").alias("slot"), F.col("label").cast("long").alias("label"), F.lit(1.0).alias("v"))
+
+
 def negative_codes(truth: DataFrame, matched: DataFrame | None, scheme: int) -> DataFrame:
     """Clusters to train in: 0 both, 1 the truth's, 2 the matcher's."""
     if scheme == 1:
@@ -74,34 +104,73 @@ def negative_codes(truth: DataFrame, matched: DataFrame | None, scheme: int) ->
     return sparse.union_sum([truth, matched]) if scheme == 0 else matched
 
 
+def _best_of_all(x: DataFrame, w: DataFrame, labels: DataFrame, value, k: int) -> DataFrame:
+    """The k best of all labels for each row (i, j, v, rank), without a row for each pair.
+
+    Only pairs that share a feature are summed. All others score value(0), and of those a row
+    needs its k smallest labels at most: with h labels that overlap, they are among the
+    k + h smallest labels of all. So a row has at most k + 2 h candidates.
+    """
+    numbered = cut(sparse.numbered(labels.select("label").distinct(), "label"))  # (label, pos)
+    total = numbered.count()
+    if total == 0:
+        return x.select("i", F.lit(None).cast(w.schema["label"].dataType).alias("j"), "v").limit(0)
+    at = w.join(numbered, "label").select("j", "pos", "w")
+    # rows that overlap no label stay as one with pos null
+    hits = x.join(at, "j", "left").groupBy("i", "pos").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    own = F.when(F.col("pos").isNotNull(), F.struct("pos", "v"))
+    rows = hits.groupBy("i").agg(F.collect_list(own).alias("hits"))  # nulls are left out
+    first = F.sequence(F.lit(0).cast("long"), F.least(F.lit(total), k + F.size("hits")).cast("long") - 1)
+    others = F.slice(F.array_except(first, F.col("hits.pos")), 1, k)
+    every = F.concat("hits", F.transform(others, lambda p: F.struct(p.alias("pos"), F.lit(0.0).alias("v"))))
+    scored = rows.select("i", F.inline(every)).withColumn("v", F.round(value(F.col("v")), 6))
+    best = top_k(scored, k, tie="pos")
+    return best.join(numbered, "pos").select("i", F.col("label").alias("j"), "v", "rank")
+
+
 def score_labels(x: DataFrame, w: DataFrame, candidates: DataFrame | None, labels: DataFrame | None, post: str, k: int) -> DataFrame:
     """One layer: all ``labels``, or ``candidates`` (i, label, parent) whose parent score joins in."""
     value, joint = transform(post), combine(post)
     if candidates is None:
-        frame = x.select("i").distinct().crossJoin(F.broadcast(labels.select("label")))
-        # all pairs are wanted: only overlapping ones are summed, and the frame adds the rest
-        hits = x.join(w, "j").groupBy("i", "label").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-        scored = frame.join(hits, ["i", "label"], "left").withColumn("v", value(F.coalesce("v", F.lit(0.0))))
-    else:
-        scored = sparse.masked_dot(candidates.select("i", "label"), x, w).join(candidates, ["i", "label"])
-        scored = scored.withColumn("v", joint(value(F.col("v")), F.col("parent")))
+        return _best_of_all(x, w, labels, value, k)
+    scored = sparse.masked_dot(candidates.select("i", "label"), x, w).join(candidates, ["i", "label"])
+    scored = scored.withColumn("v", joint(value(F.col("v")), F.col("parent")))
     return top_k(scored.select("i", F.col("label").alias("j"), F.round("v", 6).alias("v")), k)
 
 
-def beam_search(x: DataFrame, chain: Sequence[tuple[DataFrame, DataFrame | None]], post: str, beam: int, k: int) -> DataFrame:
-    """Layers from the root: (w (label, j, w), label_codes (label, code) or None at the root)."""
-    found = None
+def beam_search(
+    x: DataFrame, chain: Sequence[tuple[DataFrame, DataFrame | None]], post: str | None, beam: int, k: int, max_depth: int | None = None, normalised: bool = False,
+    start: DataFrame | None = None,
+) -> DataFrame:
+    """Layers from the root: (w (label, j, w), label_codes (label, code) or None at the root).
+
+    ``post`` None: plain margins, parents left out. ``max_depth``: only so many layers.
+    ``start`` (i, j, v): codes that the first layer's labels are taken from. ``normalised``:
+    each row's scores to sum 1.
+    """
+    post = post or "noop"
+    chain = list(chain)[: len(chain) if max_depth is None else max_depth]
+    found = start
     for depth, (w, codes) in enumerate(chain):
         size = k if depth == len(chain) - 1 else beam
         if found is None:
             found = score_labels(x, w, None, w.select("label").distinct(), post, size)
+        elif codes is None:
+            raise ValueError("the first layer has no codes to start from")
         else:
             # each layer reads the one above twice: cut, so that deep chains stay linear
             matched = cut(found.select("i", F.col("j").alias("code"), "v"))
             found = score_labels(x, w, expand_codes(matched, codes), None, post, size)
-    return found
+    return sparse.row_l1(found) if normalised else found
 
 
 def count_model(z: DataFrame, y: DataFrame) -> DataFrame:
     """P(label | code): rows of Z'Y to sum 1."""
     return sparse.row_l1(sparse.matmul(sparse.transpose(z), y))
+
+
+def count_predict(model: DataFrame, codes: DataFrame, k: int, weighted: bool = True, normalised: bool = False) -> DataFrame:
+    """The k best labels of rows with matched ``codes`` (i, j, v); not ``weighted``: each code counts 1."""
+    z = codes if weighted else codes.withColumn("v", F.lit(1.0))
+    found = top_k(sparse.matmul(z, model).withColumn("v", F.round("v", 6) + 0.0), k)
+    return sparse.row_l1(found) if normalised else found

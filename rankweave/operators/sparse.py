@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0.0)), a)
@@ -39,12 +41,16 @@ def concat_columns(left: DataFrame, right: DataFrame, width: int, normalise: boo
 
 
 def composite_features(first: DataFrame, second: DataFrame, width: int, form: int) -> DataFrame:
-    """Forms 0 to 5: both side by side, the first, the second, with rows of length 1; then the same as they are."""
+    """Forms 0 to 5: both side by side, the first, the second, with rows of length 1; then again as they are.
+
+    Side by side, each part's rows always have length 1; in form 0 the joined rows have, too.
+    """
     if form not in range(6):
         raise ValueError(f"feature form {form} is not one of 0 to 5")
     normalise, pick = form < 3, form % 3
     if pick == 0:
-        return concat_columns(first, second, width, normalise)
+        both = concat_columns(row_l2(first), row_l2(second), width, normalise=False)
+        return row_l2(both) if normalise else both
     one = (first if pick == 1 else second).select("i", "j", "v")
     return row_l2(one) if normalise else one
 
@@ -94,6 +100,11 @@ def transpose(m: DataFrame) -> DataFrame:
     return m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
 
+def cast(m: DataFrame, kind: str) -> DataFrame:
+    """Values as ``kind`` ('float', 'double')."""
+    return m.withColumn("v", F.col("v").cast(kind))
+
+
 def flatten(m: DataFrame, columns: int) -> DataFrame:
     return m.select((F.col("i") * columns + F.col("j")).alias("idx"), "v")
 
@@ -188,22 +199,46 @@ def union_max(ms: Sequence[DataFrame]) -> DataFrame:
 
 
 def permutation(ids: DataFrame, seed: int = 0) -> DataFrame:
-    """(old, new): distinct ids in the order of a seeded hash, numbered from 0.
+    """(old, new): distinct whole-number ids in the order of a seeded hash, numbered from 0.
 
     Ranges of the hash are numbered apart and moved by the sizes of those before them, so no
     task holds all ids; the sizes are one row a range.
     """
-    hashed = ids.select("old").withColumn("_h", F.xxhash64("old", F.lit(seed)))
-    hashed = hashed.withColumn("_r", F.shiftright("_h", 54))  # 1,024 ranges
+    hashed = ids.select("old").withColumn("_h", hashed_unit(F.col("old"), seed))
+    hashed = hashed.withColumn("_r", F.floor(F.col("_h") * 1024))
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     sizes = hashed.groupBy("_r").agg(F.count("*").alias("_n")).withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("_r").orderBy("_h", "old"))
     return hashed.join(F.broadcast(sizes), "_r").select("old", (F.col("_at") + rank - 1).alias("new"))
 
 
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``pos``, its place from 0 in the given order (of distinct rows).
+
+    The sorted table is written with each row's task and place in it; tasks are moved by the
+    sizes of those before them. So no task holds all rows; the sizes are one row a task.
+    """
+    held = cut(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    held = held.withColumn("_task", F.shiftright("_id", 33))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy("_task").agg(F.count("*").alias("_n")).select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    out = held.join(F.broadcast(sizes), "_task").withColumn("pos", F.col("_at") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    return out.drop("_id", "_task", "_at")
+
+
+def hashed_unit(key: Column, seed: int) -> Column:
+    """A number in (0, 1) from a whole-number key: a linear congruence, the same in any engine and partition."""
+    k = (key * 7919 + F.lit(seed * 104729 + 12345)) % 2147483647
+    for _ in range(2):
+        k = (k * 48271 + F.lit(11)) % 2147483647
+    return (k + 0.5) / 2147483647.0
+
+
 def random_matrix(spark, rows: int, columns: int, seed: int, normal: bool = False) -> DataFrame:
-    r = F.randn(seed) if normal else F.rand(seed)
-    return spark.range(rows * columns).select(F.floor(F.col("id") / columns).alias("i"), (F.col("id") % columns).alias("j"), r.alias("v"))
+    """(i, j, v) of hash-derived values: uniform in (0, 1), or normal by the Box-Muller transform."""
+    one = hashed_unit(F.col("id"), seed)
+    value = F.sqrt(-2 * F.log(one)) * F.cos(2 * F.pi() * hashed_unit(F.col("id"), seed + 1)) if normal else one
+    return spark.range(rows * columns).select(F.floor(F.col("id") / columns).alias("i"), (F.col("id") % columns).alias("j"), value.alias("v"))
 
 
 def packed(m: DataFrame) -> DataFrame:

@@ -33,6 +33,14 @@ def r6(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def unit_sql(key: str, seed: int) -> str:
+    """The number in (0, 1) that the engine derives from a whole-number key."""
+    k = f"(({key}) * 7919 + {seed * 104729 + 12345}) % 2147483647"
+    for _ in range(2):
+        k = f"(({k}) * 48271 + 11) % 2147483647"
+    return f"(({k}) + 0.5) / 2147483647.0::DOUBLE"
+
+
 LQ = "SELECT i, j, sum(v) AS v FROM lq GROUP BY i, j"
 
 
@@ -119,12 +127,16 @@ def p11_packed_rows(spark, sf):
 
 @query(with_("xd") + "SELECT i, j, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM xd")
 def p12_cast(spark, sf):
-    return fx.vectors(spark, sf).withColumn("v", F.col("v").cast("float").cast("double"))
+    return sparse.cast(fx.vectors(spark, sf), "float").withColumn("v", F.col("v").cast("double"))
 
 
-@query()
+_CELLS = "(SELECT range AS id FROM range(3200))"
+
+
+@query(f"SELECT id // 16 AS i, id % 16 AS j, round(u, 6) + 0.0 AS v FROM (SELECT id, {unit_sql('id', 1)} AS u FROM {_CELLS}) UNION ALL "
+       f"SELECT id // 16, id % 16, round(sqrt(-2 * ln(u)) * cos(2 * pi() * w), 6) + 0.0 FROM (SELECT id, {unit_sql('id', 1)} AS u, {unit_sql('id', 2)} AS w FROM {_CELLS})")
 def p13_random_matrix(spark, sf):
-    return sparse.random_matrix(spark, 200, 16, seed=1).unionByName(sparse.random_matrix(spark, 200, 16, seed=1, normal=True))
+    return r6(sparse.random_matrix(spark, 200, 16, seed=1).unionByName(sparse.random_matrix(spark, 200, 16, seed=1, normal=True)))
 
 
 @query(with_("xd") + "SELECT i * 64 + j AS idx, v FROM xd")
@@ -260,8 +272,7 @@ def j8_matrix_vector(spark, sf):
 @query(with_("xd", "yc", WM) + "SELECT xd.i, wm.label, round(sum(xd.v * wm.w), 6) + 0.0 AS v FROM xd JOIN wm ON wm.j = xd.j GROUP BY xd.i, wm.label")
 def j9_score_all(spark, sf):
     x, w = fx.vectors(spark, sf), mean_weights(spark, sf)
-    frame = x.select("i").distinct().crossJoin(F.broadcast(w.select("label").distinct()))
-    return r6(sparse.masked_dot(frame, x, w))
+    return r6(sparse.matmul(x, w.select(F.col("j").alias("i"), F.col("label").alias("j"), F.col("w").alias("v")))).select("i", F.col("j").alias("label"), "v")
 
 
 @query(with_("xd", "yc", WM, PAIRS) + """SELECT i, label AS j, v, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, label) AS r FROM
@@ -289,7 +300,7 @@ def a2_count_model(spark, sf):
 
 @query(with_("yo", "cb", Z, "k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, j) AS r FROM z) WHERE r <= 2)") + "SELECT i, j, round(v / sum(v) OVER (PARTITION BY i), 6) + 0.0 AS v FROM k")
 def a3_optimal_codes(spark, sf):
-    return r6(sparse.row_l1(ranking.top_k(order_codes(spark, sf), 2).drop("rank"))).select("i", "j", "v")
+    return r6(ranking.optimal_codes(order_codes(spark, sf), 2))
 
 
 @query(with_("xd") + "SELECT j, min(v) AS lo, max(v) AS hi FROM xd GROUP BY j")
@@ -344,7 +355,7 @@ def o4_running_hits(spark, sf):
     return ranking.hit_counts(fx.classes(spark, sf), abc(spark, sf)[0], 5)
 
 
-@query()
+@query(f"SELECT p_partkey AS old, row_number() OVER (ORDER BY {unit_sql('p_partkey', 1)}, p_partkey) - 1 AS new FROM part")
 def o9_permutation(spark, sf):
     return sparse.permutation(fx.table(spark, sf, "part").select(F.col("p_partkey").alias("old")), seed=1)
 
@@ -403,7 +414,7 @@ def m1_precision_recall(spark, sf):
 @query(with_(*ABC) + "SELECT k, printf('%.2f', 100 * precision) AS precision, printf('%.2f', 100 * recall) AS recall FROM (" + pr_sql("a", "pa") + ")")
 def m2_formatted(spark, sf):
     m = ranking.precision_recall(fx.classes(spark, sf), abc(spark, sf)[0], 5)
-    return r6(m, "precision", "recall").select("k", *(F.format_string("%.2f", 100 * F.col(c)).alias(c) for c in ("precision", "recall")))
+    return ranking.formatted(r6(m, "precision", "recall"))
 
 
 # --- scores -------------------------------------------------------------------------------
@@ -591,7 +602,7 @@ def i2_spherical_two_means(spark, sf):
     return clustering.generate(fx.vectors(spark, sf), 2, 2, clustering.SKMEANS, max_iter=3)
 
 
-@query()
+@query(f"SELECT vec_id AS i, CAST(floor(({unit_sql('vec_id', 3)}) * 16) AS BIGINT) AS code FROM embeddings")
 def i9_random_codes(spark, sf):
     return clustering.generate(fx.vectors(spark, sf), 2, 4, clustering.RANDOM, seed=3)
 
@@ -623,7 +634,7 @@ def _one_layer(spark, sf, solver: int, max_iter: int):
     x, y = fx.vectors(spark, sf), fx.classes(spark, sf)
     codes = y.select(F.col("j").alias("label")).distinct().withColumn("code", F.lit(0).cast("long"))
     z = y.select("i", F.lit(0).cast("long").alias("j"), "v")
-    return training.train_layer(x, y, codes, z, 64, training.Options(solver=solver, max_iter=max_iter))
+    return training.train_layer(x, y, codes, z, 64, training.Options(solver=solver, max_iter=max_iter, threshold=0.01))
 
 
 @query()
@@ -646,10 +657,26 @@ def t5_l1_svc(spark, sf):
     return _one_layer(spark, sf, training.L1_SVC_L2, 10)
 
 
+@query(with_("yc") + "SELECT DISTINCT j AS label, true AS optimal FROM yc")
+def t3_optimality(spark, sf):
+    """Whether each label's weights are the optimum: the gradient of the squared-hinge objective there, against that at 0."""
+    x, y = fx.vectors(spark, sf), fx.classes(spark, sf)
+    codes = y.select(F.col("j").alias("label")).distinct().withColumn("code", F.lit(0).cast("long"))
+    z = y.select("i", F.lit(0).cast("long").alias("j"), "v")
+    full = sparse.append_constant(x, x.select("i").distinct(), 64)
+    w = training.train_layer(x, y, codes, z, 64, training.Options(solver=training.L2_SVC_L2, max_iter=400, eps=1e-4, threshold=0.0))
+    return training.optimality(training.jobs(y, z, codes).select("i", "label", "sign"), full, w).select("label", (F.col("ratio") < 1e-3).alias("optimal"))
+
+
+TRAIN, TEST = "i % 5 <> 0", "i % 5 = 0"
+
+
 def _chain(spark, sf):
+    """Trained on four fifths of the vectors; the features of the rest come along."""
     x, y = fx.vectors(spark, sf), fx.classes(spark, sf)
     codes = y.select(F.col("j").alias("label")).distinct().withColumn("code", F.floor(F.col("label") / 2))
-    return sparse.append_constant(x, x.select("i").distinct(), 64), training.train_hierarchical(x, y, codes, 64, training.Options(max_iter=20))
+    test = x.where(TEST)
+    return sparse.append_constant(test, test.select("i").distinct(), 64), training.train_hierarchical(x.where(TRAIN), y.where(TRAIN), codes, 64, training.Options(max_iter=20, threshold=0.01))
 
 
 @query()
@@ -664,10 +691,10 @@ def t8_hierarchical(spark, sf):
 
 @query()
 def h7_trained_ranking(spark, sf):
-    """Train a chain, predict by beam search, report precision and recall."""
+    """Train a chain, predict held-out rows by beam search, report precision and recall."""
     x, chain = _chain(spark, sf)
     found = ranking.beam_search(x, chain, "l3-hinge", 10, 5)
-    return ranking.precision_recall(fx.classes(spark, sf), found, 5)
+    return ranking.precision_recall(fx.classes(spark, sf).where(TEST), found, 5)
 
 
 # --- prediction ---------------------------------------------------------------------------
@@ -706,15 +733,14 @@ CM = (EV, "cm AS (SELECT i % 8 AS code, j, sum(v) AS v FROM ev GROUP BY ALL)", "
 def h5_count_predict(spark, sf):
     y = fx.table(spark, sf, "events").groupBy(F.col("user_id").alias("i"), F.col("event_type").alias("j")).agg(F.count("*").cast("double").alias("v"))
     z = y.select("i").distinct().select("i", (F.col("i") % 8).cast("long").alias("j"), F.lit(1.0).alias("v"))
-    return ranking.top_k(r6(sparse.matmul(z, ranking.count_model(z, y))), 2)
+    return ranking.count_predict(ranking.count_model(z, y), z, 2)
 
 
 @query("SELECT doc_id AS i, CAST(unnest([1, 2, 3]) AS BIGINT) AS slot, CAST(unnest([doc_id % 7, (doc_id * 3) % 11, (doc_id * 5) % 13]) AS BIGINT) AS label, CAST(1 AS DOUBLE) AS v FROM documents")
 def h10_repack(spark, sf):
     """A row's label slots as entries of value 1."""
     ids = F.array(F.col("doc_id") % 7, (F.col("doc_id") * 3) % 11, (F.col("doc_id") * 5) % 13)
-    d = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("i"), F.posexplode(ids).alias("slot", "label"))
-    return d.select("i", (F.col("slot") + 1).cast("long").alias("slot"), F.col("label").cast("long").alias("label"), F.lit(1.0).alias("v"))
+    return ranking.repacked(fx.table(spark, sf, "documents").select("doc_id", ids.alias("ids")), "doc_id", "ids")
 
 
 @query()

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions import text as words
 from ..operators import clustering, dense, ranking, sparse, training
+from ..sources import matrices
 from . import fixtures as fx
 from . import model
-from .catalog import ABC, EVT, H1, HINGE, NORM, RELS, SIZES, WM, XI, Z, abc, brand_sizes, gridded, mean_weights, order_codes, pr_sql, proj_sql, r6
+from .catalog import ABC, EVT, H1, HINGE, NORM, RELS, SIZES, WM, XI, Z, TEST, TRAIN, abc, brand_sizes, gridded, mean_weights, order_codes, pr_sql, proj_sql, r6
 from .fixtures import with_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +39,7 @@ def stacked(parts: list[DataFrame]) -> DataFrame:
 
 # --- features -----------------------------------------------------------------------------
 _BOTH = "SELECT * FROM {a} UNION ALL SELECT i, j + 64, v FROM {b}"
-_FORMS = [f"{NORM} ({_BOTH.format(a='a', b='b')})", "SELECT * FROM a", "SELECT * FROM b", _BOTH.format(a="xd", b="yc"), "SELECT * FROM xd", "SELECT * FROM yc"]
+_FORMS = [f"{NORM} ({_BOTH.format(a='a', b='b')})", "SELECT * FROM a", "SELECT * FROM b", _BOTH.format(a="a", b="b"), "SELECT * FROM xd", "SELECT * FROM yc"]
 
 
 @query(with_("xd", "yc", f"a AS ({NORM} xd)", f"b AS ({NORM} yc)") + " UNION ALL ".join(f"SELECT {n} AS form, i, j, round(v, 6) + 0.0 AS v FROM ({s})" for n, s in enumerate(_FORMS)))
@@ -98,8 +99,8 @@ def h2_predict_candidates(spark, sf):
 @query(with_("xd", "yc", WM) + "SELECT count(DISTINCT label) AS nr_labels, count(DISTINCT label // 2) AS nr_codes, max(j) + 1 AS nr_features FROM wm")
 def h8_layer_size(spark, sf):
     w = mean_weights(spark, sf)
-    code = F.floor(F.col("label") / 2)
-    return w.agg(F.countDistinct("label").alias("nr_labels"), F.countDistinct(code).alias("nr_codes"), (F.max("j") + 1).alias("nr_features"))
+    codes = w.select("label").distinct().withColumn("code", F.floor(F.col("label") / 2))
+    return matrices.layer_size(w, codes)
 
 
 # --- aggregates, ranks, ensembles ---------------------------------------------------------
@@ -139,9 +140,11 @@ def x14_uniform_bins(spark, sf):
     return clustering.uniform_bins(clustering.projected(gridded(spark, sf), 3, 0), 5).select("i", "j", "q")
 
 
-@query(with_("xd") + "SELECT i, CAST(sum((i + j * 3) % 4 * pow(4, j)) AS BIGINT) AS code FROM xd WHERE j < 5 GROUP BY i")
+@query(with_("xd") + "SELECT i * 8 + j // 8 AS i, CAST(sum((i + j * 3) % 4 * pow(4, j % 8)) AS BIGINT) AS code FROM xd GROUP BY i * 8 + j // 8")
 def x13_hash_code(spark, sf):
-    return clustering.hash_code(fx.vectors(spark, sf).where("j < 5").withColumn("q", (F.col("i") + F.col("j") * 3) % 4), 4)
+    """A code for each run of eight dimensions of each vector."""
+    q = fx.vectors(spark, sf).withColumn("q", (F.col("i") + F.col("j") * 3) % 4)
+    return clustering.hash_code(q.select((F.col("i") * 8 + F.floor(F.col("j") / 8)).alias("i"), (F.col("j") % 8).alias("j"), "q"), 4)
 
 
 @query(with_("xd") + "SELECT i, j, v, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, j) AS r FROM xd) WHERE r <= 5")
@@ -199,7 +202,8 @@ def i12_index_labels(spark, sf):
 def t12_grid_search(spark, sf):
     x, y = fx.vectors(spark, sf), fx.classes(spark, sf)
     codes = y.select(F.col("j").alias("label")).distinct().withColumn("code", F.floor(F.col("label") / 2))
-    return model.grid_search(model.Problem(x, y, codes), {"c_pos": [0.5, 1.0], "max_iter": [10]}, (x, y))
+    p = model.Problem(x.where(TRAIN), y.where(TRAIN), codes)
+    return model.grid_search(p, {"c_pos": [0.5, 1.0], "max_iter": [10]}, (x.where(TEST), y.where(TEST)))
 
 
 # --- dense factorisations, checked by their round trips -----------------------------------

@@ -132,6 +132,66 @@ def petsc_bytes(i: np.ndarray, j: np.ndarray, v: np.ndarray, rows: int, columns:
     return head + counts.tobytes() + j[order].astype("<u4").tobytes() + v[order].astype("<f8").tobytes()
 
 
+def dense_bytes(x: np.ndarray) -> bytes:
+    """A dense matrix as the dense binary: two 64-bit counts, then its rows in doubles."""
+    return struct.pack("<QQ", *x.shape) + np.ascontiguousarray(x, "<f8").tobytes()
+
+
+def _from_dense_binary(content: bytes) -> pd.DataFrame:
+    rows, columns = struct.unpack_from("<QQ", content)
+    if len(content) != 16 + 8 * rows * columns:
+        raise ValueError(f"a dense matrix of {rows} x {columns} needs {16 + 8 * rows * columns} bytes, not {len(content)}")
+    return _from_dense(np.frombuffer(content, "<f8", rows * columns, 16).reshape(rows, columns))
+
+
+def read_dense(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a dense binary, zeros included."""
+    return _binary(spark, path, _from_dense_binary)
+
+
+def write_tokens(tokens: DataFrame, path: str) -> None:
+    """Token sequences (i, input_ids, attention_mask, token_type_ids) as Parquet."""
+    tokens.select("i", "input_ids", "attention_mask", "token_type_ids").write.mode("overwrite").parquet(path)
+
+
+def read_tokens(spark: SparkSession, path: str, length: int | None = None) -> DataFrame:
+    """Token sequences; with ``length`` all must have it."""
+    d = spark.read.parquet(path)
+    if length is not None and not d.where(F.size("input_ids") != length).isEmpty():
+        raise ValueError(f"{path}: sequences of other lengths than {length}")
+    return d
+
+
+def read_tree(spark: SparkSession, path: str, bias: float = 1.0) -> list[tuple[DataFrame, DataFrame | None]]:
+    """A tree of label partitions with weights, as a chain of (weights, label-to-code).
+
+    Head lines: features, labels, nodes. Then level by level, for each node: whether it is a
+    leaf, its two children's numbers, its depth, its number of labels and the labels, the number
+    of its weight lines, and these lines of ``feature:weight``: one a child, or one a label in a
+    leaf. Without ``bias`` the last feature is left out.
+    """
+    lines = iter([r["value"].strip() for r in spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", "\n")).alias("value")).collect()])
+    features, _, nodes = (int(next(lines)) for _ in range(3))
+    features -= bias <= 0
+    chain = []
+    for depth in range((nodes + 1).bit_length() - 1):
+        codes, weights = [], []
+        for node in range(1 << depth):
+            is_leaf = int(next(lines)) == 1
+            children = [int(c) - (2 ** (depth + 1) - 1) for c in next(lines).split()]
+            if int(next(lines)) != depth:
+                raise ValueError(f"{path}: a node of level {depth} is out of place")
+            labels = [int(c) for c in next(lines).split()[1:]]
+            next(lines)  # how many lines of weights: one for each of the following
+            for label in labels if is_leaf else children:
+                codes.append((label, node))
+                pairs = [p.split(":") for p in next(lines).split()]
+                weights += [(label, int(j), float(v)) for j, v in pairs if int(j) < features]
+        layer = spark.createDataFrame(weights, "label long, j long, w double")
+        chain.append((layer, spark.createDataFrame(codes, "label long, code long") if depth else None))
+    return chain
+
+
 def read_predictions(spark: SparkSession, path: str, only_topk: int | None = None) -> DataFrame:
     """Lines ``label:score label:score ...`` after a head line, ranked by score."""
     from ..operators.ranking import top_k
@@ -140,7 +200,7 @@ def read_predictions(spark: SparkSession, path: str, only_topk: int | None = Non
     return e if only_topk is None else top_k(e, only_topk)
 
 
-READERS: dict[str, Callable[..., DataFrame]] = {"text": read_triples, "petsc": read_petsc, "svmlight": read_svmlight, "features": read_features}
+READERS: dict[str, Callable[..., DataFrame]] = {"text": read_triples, "petsc": read_petsc, "svmlight": read_svmlight, "features": read_features, "dense": read_dense}
 
 
 def read_matrix(spark: SparkSession, path: str, format: str, **options) -> DataFrame:
@@ -183,6 +243,44 @@ def model_size(chain: list[tuple[DataFrame, DataFrame | None]]) -> dict:
     return {"labels": (w["l"] if w["l"] is not None else -1) + 1, "features": (w["j"] if w["j"] is not None else -1) + 1, "depth": len(chain)}
 
 
+def layer_size(w: DataFrame, codes: DataFrame) -> DataFrame:
+    """One row: nr_labels, nr_codes, nr_features of a layer (weights, label-to-code)."""
+    of_codes = codes.agg(F.countDistinct("code").alias("nr_codes"))
+    sizes = w.agg(F.countDistinct("label").alias("nr_labels"), (F.max("j") + 1).alias("nr_features"))
+    return sizes.crossJoin(of_codes).select("nr_labels", "nr_codes", "nr_features")  # one row each
+
+
+def save_layer(spark: SparkSession, layer: tuple[DataFrame, DataFrame | None], path: str, **params) -> None:
+    """A single layer as a chain of one."""
+    save_chain(spark, [layer], path, **params)
+
+
+def load_layer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
+    chain, _ = load_chain(spark, path)
+    if len(chain) != 1:
+        raise ValueError(f"{path} holds {len(chain)} layers")
+    return chain[0]
+
+
+def save_counts(model: DataFrame, path: str) -> None:
+    """A count model (code i, label j, v)."""
+    model.write.mode("overwrite").parquet(f"{path}/counts")
+    _write_text(model.sparkSession, f"{path}/param", json.dumps({"model": "count"}))
+
+
+def load_counts(spark: SparkSession, path: str) -> DataFrame:
+    kind = json.loads(_read_text(spark, f"{path}/param"))["model"]
+    if kind != "count":
+        raise ValueError(f"{path} holds a {kind!r} model")
+    return spark.read.parquet(f"{path}/counts")
+
+
+def load_model(spark: SparkSession, path: str):
+    """What is saved there: a chain of layers, or a count model."""
+    kind = json.loads(_read_text(spark, f"{path}/param"))["model"]
+    return load_counts(spark, path) if kind == "count" else load_chain(spark, path)[0]
+
+
 def save_codes(codes: DataFrame, path: str, **config) -> None:
     codes.write.mode("overwrite").parquet(f"{path}/codes")
     _write_text(codes.sparkSession, f"{path}/config", json.dumps(config))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import scoring
 from rankweave.functions import text as words
-from rankweave.operators import clustering, dense, ranking, sparse, training
+from rankweave.operators import clustering, dense, embedding, ranking, sparse, training
 
 M = "i long, j long, v double"
 
@@ -44,6 +44,9 @@ def test_precision_recall_of_short_and_empty_predictions(spark):
     pred = spark.createDataFrame([(0, 1, 0.9), (0, 2, 0.8)], M)
     got = {r["k"]: (r["precision"], r["recall"]) for r in ranking.precision_recall(truth, pred, 3).collect()}
     assert got == {1: (1.0, pytest.approx(1 / 3)), 2: (0.5, pytest.approx(1 / 3)), 3: (pytest.approx(1 / 3), pytest.approx(1 / 3))}
+    rows = spark.createDataFrame([(0,), (8,)], "i long")  # row 8 has no label: it counts, with recall 0
+    with_empty = {r["k"]: (r["precision"], r["recall"]) for r in ranking.precision_recall(truth, pred, 1, rows).collect()}
+    assert with_empty == {1: (0.5, pytest.approx(1 / 6))}
     none = ranking.precision_recall(truth, pred.limit(0), 1).first()
     assert (none["precision"], none["recall"]) == (0.0, 0.0)
 
@@ -84,11 +87,57 @@ def test_solvers_separate_and_are_near_optimal(solver):
     y = np.r_[np.ones(40), -np.ones(40)]
     x = np.c_[rng.normal(size=(80, 3)) + y[:, None] * 2, np.ones(80)]
     o = training.Options(solver=solver, max_iter=300, eps=0.001)
-    w = training.solve(x, y, o)
-    assert (np.sign(x @ w) == y).mean() > 0.95
-    if solver in (1, 3):
-        best = training.objective(w, x, y, o)
-        assert all(best <= training.objective(w + rng.normal(size=4) * s, x, y, o) + 1e-2 for s in (0.01, 0.1, 0.5) for _ in range(20))
+    other = np.where(x[:, 0] > 1, 1.0, -1.0)  # a second label, solved alongside
+    both = training.solve(training.Rows.dense(x), np.stack([y, other], axis=1), o)
+    assert (np.sign(x @ both[:, 0]) == y).mean() > 0.95
+    for w, sign in zip(both.T, (y, other)):
+        best = training.objective(w, x, sign, o)
+        assert all(best <= training.objective(w + rng.normal(size=4) * s, x, sign, o) + 1e-2 for s in (0.01, 0.1, 0.5) for _ in range(20))
+
+
+def test_block_changes_add_up_to_the_optimum_of_the_hinge_loss():
+    rng = np.random.default_rng(3)
+    x = np.c_[rng.normal(size=(120, 3)), np.ones(120)]
+    sign = np.stack([np.where(x[:, 0] > 0, 1.0, -1.0), np.where(x[:, 1] > 0.3, 1.0, -1.0)], axis=1)
+    o = training.Options(solver=3, eps=1e-3, max_iter=500)
+    whole = training.solve(training.Rows.dense(x), sign, o)
+    blocks = np.array_split(rng.permutation(120), 4)
+    w, alpha = np.zeros((4, 2)), [None] * 4
+    for _ in range(training.ROUNDS):
+        after = []
+        for k, p in enumerate(blocks):
+            alpha[k], one, _ = training.Dual(training.Rows.dense(x[p]), sign[p], o, 4).run(training.SWEEPS, alpha[k], w)
+            after.append(one)
+        w = w + sum((one - w) / 4 for one in after)
+    for k in range(2):
+        assert training.objective(w[:, k], x, sign[:, k], o) == pytest.approx(training.objective(whole[:, k], x, sign[:, k], o), rel=0.01)
+
+
+@pytest.mark.parametrize("solver", [1, 7])
+def test_blocks_reach_the_same_optimum_in_rounds(spark, monkeypatch, solver):
+    rng = np.random.default_rng(3)
+    x = np.c_[rng.normal(size=(120, 3)), np.ones(120)]
+    truth = {i: {int(x[i, 0] > 0), 2 + int(x[i, 1] > 0.3)} for i in range(120)}
+    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(120) for j in range(3)], M)
+    y = spark.createDataFrame([(i, label, 1.0) for i in truth for label in truth[i]], M)
+    codes = spark.createDataFrame([(label, 0) for label in range(5)], "label long, code long")  # label 4 holds nowhere
+    z = cells.select("i").distinct().select("i", F.lit(0).cast("long").alias("j"), F.lit(1.0).alias("v"))
+    o = training.Options(solver=solver, eps=1e-2, max_iter=500, threshold=0.0)
+    objective = {}
+    for cells_a_block in (10_000, 150):
+        monkeypatch.setattr(training, "BLOCK_CELLS", cells_a_block)
+        found = np.zeros((4, 5))
+        for r in training.train_layer(cells, y, codes, z, 3, o, split=3).collect():
+            found[r["j"], r["label"]] = r["w"]
+        objective[cells_a_block] = [training.objective(found[:, k], x, np.array([1.0 if k in truth[i] else -1.0 for i in range(120)]), o) for k in range(5)]
+    assert objective[150] == pytest.approx(objective[10_000], rel=0.01, abs=0.02)
+
+
+def test_matcher_codes_are_divided_from_the_labels_up(spark):
+    labels = spark.createDataFrame([(k,) for k in range(9)], "label long")
+    layers = training.chain_codes(None, 2, 2, labels)
+    assert [sorted((r["label"], r["code"]) for r in c.collect()) for c in layers] == [[(k, k // 2) for k in range(9)], [(k, k // 2) for k in range(5)], [(k, k // 2) for k in range(3)]]
+    assert training.chain_codes(None, 3, 9, labels) == [] and training.chain_codes(None, 2, 0, labels) == []
 
 
 def test_full_beam_prunes_nothing(spark):
@@ -140,6 +189,65 @@ def test_dense_factorisations(spark):
 
 def test_composite_features_need_a_known_form(spark):
     m = spark.createDataFrame([(0, 0, 2.0)], M)
-    assert entries(sparse.composite_features(m, m, 8, 3)) == {(0, 0): 2.0, (0, 8): 2.0}
+    assert entries(sparse.composite_features(m, m, 8, 3)) == {(0, 0): 1.0, (0, 8): 1.0}  # each part has length 1, the whole hasn't
+    assert entries(sparse.composite_features(m, m, 8, 4)) == {(0, 0): 2.0}
     with pytest.raises(ValueError):
         sparse.composite_features(m, m, 8, 6)
+
+
+@pytest.mark.parametrize("most", [100, 1])
+def test_ranks_by_window_and_by_sort_agree(spark, monkeypatch, most):
+    monkeypatch.setattr(clustering, "RANK_ROWS", most)
+    rows = [(i, i % 3, float(i % 5)) for i in range(40)]
+    got = {r["i"]: (r["rank"], r["n"]) for r in clustering.ranked(spark.createDataFrame(rows, "i long, node long, score double").repartition(7), "node", ["score", "i"], 14).collect()}
+    for node in range(3):
+        own = sorted((s, i) for i, n, s in rows if n == node)
+        assert [got[i] for _, i in own] == [(k + 1, len(own)) for k in range(len(own))]
+
+
+def test_best_of_all_labels_without_their_pairs(spark):
+    x = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0), (2, 7, 1.0)], M)  # row 2 overlaps no label
+    w = spark.createDataFrame([(5, 0, -1.0), (6, 0, 2.0), (7, 1, 0.5), (8, 1, -0.5), (9, 3, 1.0)], "label long, j long, w double")
+    found = ranking.score_labels(x, w, None, w.select("label").distinct(), "noop", 3).collect()
+    got = {i: [(r["j"], r["v"]) for r in sorted(found, key=lambda r: r["rank"]) if r["i"] == i] for i in range(3)}
+    assert got == {0: [(6, 2.0), (7, 0.0), (8, 0.0)], 1: [(7, 0.5), (5, 0.0), (6, 0.0)], 2: [(5, 0.0), (6, 0.0), (7, 0.0)]}
+
+
+def test_beam_search_depth_start_and_normalising(spark):
+    x = spark.createDataFrame([(0, 0, 1.0)], M)
+    top = spark.createDataFrame([(0, 0, 1.0), (1, 0, 0.5)], "label long, j long, w double")
+    leaf = spark.createDataFrame([(k, 0, 1.0 + k) for k in range(4)], "label long, j long, w double")
+    codes = spark.createDataFrame([(k, k // 2) for k in range(4)], "label long, code long")
+    chain = [(top, None), (leaf, codes)]
+    assert entries(ranking.beam_search(x, chain, None, 2, 2, max_depth=1)) == {(0, 0): 1.0, (0, 1): 0.5}
+    assert entries(ranking.beam_search(x, chain, None, 2, 4)) == {(0, k): 1.0 + k for k in range(4)}
+    start = spark.createDataFrame([(0, 1, 0.5)], M)
+    assert entries(ranking.beam_search(x, chain[1:], None, 2, 4, start=start, normalised=True)) == {(0, 2): pytest.approx(3 / 7), (0, 3): pytest.approx(4 / 7)}
+    with pytest.raises(ValueError):
+        ranking.beam_search(x, chain, None, 2, 4, start=start)
+
+
+def test_count_model_predictions(spark):
+    model = spark.createDataFrame([(0, 1, 0.75), (0, 2, 0.25), (1, 2, 1.0)], M)
+    codes = spark.createDataFrame([(9, 0, 0.4), (9, 1, 0.1)], M)
+    assert entries(ranking.count_predict(model, codes, 2)) == {(9, 1): 0.3, (9, 2): 0.2}
+    assert entries(ranking.count_predict(model, codes, 2, weighted=False)) == {(9, 1): 0.75, (9, 2): 1.25}
+    assert entries(ranking.count_predict(model, codes, 1, normalised=True)) == {(9, 1): 1.0}
+
+
+def test_spectral_is_the_singular_vectors(spark):
+    rng = np.random.default_rng(6)
+    dense = (rng.random((12, 30)) < 0.3) * 1.0
+    dense[:, 0], dense[0] = 1.0, 1.0
+    y = spark.createDataFrame([(n, label, 1.0) for label in range(12) for n in range(30) if dense[label, n]], M)
+    got = np.zeros((12, 3))
+    for r in embedding.spectral(y, 3, rounds=12).collect():
+        got[r["i"], r["j"]] = r["v"]
+    u = np.linalg.svd(dense / np.sqrt(dense.sum(axis=1, keepdims=True)) / np.sqrt(dense.sum(axis=0, keepdims=True)))[0][:, 1:4]
+    assert np.abs((got * u).sum(axis=0)) == pytest.approx(np.ones(3), abs=1e-3)
+
+
+def test_padding_segments(spark):
+    d = spark.range(1).select(F.array(F.lit(7), F.lit(8)).alias("ids"))
+    row = d.select(words.segments("ids", 4, left=True).alias("a"), words.segments("ids", 4).alias("b"), words.segments("ids", 1, True).alias("c")).first()
+    assert (row["a"], row["b"], row["c"]) == ([4, 4, 0, 0], [0, 0, 0, 0], [0])
