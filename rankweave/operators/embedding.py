@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import sparse
 from .storage import cut
@@ -44,17 +48,33 @@ def spectral(y: DataFrame, dims: int, rounds: int = 8, more: int = 8) -> DataFra
     def sums(m: DataFrame, by: str) -> DataFrame:
         return m.groupBy(by).agg(F.array(*[F.sum(F.col("v") * F.col("q")[c]) for c in range(width)]).alias("q"))
 
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
     def gram_of(left: str, right: str, m: DataFrame) -> np.ndarray:
-        cells = m.agg(*[F.sum(F.col(left)[c] * F.col(right)[d]).alias(f"g{c}_{d}") for c in range(width) for d in range(c, width)]).first()
-        g = np.zeros((width, width))
-        for c in range(width):
-            for d in range(c, width):
-                g[c, d] = g[d, c] = cells[f"g{c}_{d}"] or 0.0
-        return g
+        """A task adds up its rows; the driver gets one small matrix a task."""
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((width, width))
+            for batch in batches:
+                total += matrix(batch.column(0)).T @ matrix(batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(range(width * width), pa.int32()), pa.array(total.ravel())], ["at", "g"])
+
+        sums = m.select(F.col(left).alias("a"), F.col(right).alias("b")).mapInArrow(add, "at int, g double").groupBy("at").agg(F.sum("g").alias("g"))
+        g = np.zeros(width * width)
+        for r in sums.collect():
+            g[r["at"]] = r["g"]
+        g = g.reshape(width, width)
+        return (g + g.T) / 2
 
     def turned(m: DataFrame, r: np.ndarray) -> DataFrame:
-        rows = [F.aggregate(F.zip_with("q", F.array(*map(F.lit, r[:, c].tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for c in range(r.shape[1])]
-        return m.select("i", F.array(*rows).alias("q"))
+        def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = matrix(batch.column(1)) @ r
+                ends = pa.array(np.arange(len(rows) + 1) * r.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))], ["i", "q"])
+
+        return m.select("i", "q").mapInArrow(turn, T.StructType([m.schema["i"], T.StructField("q", T.ArrayType(T.DoubleType()))]))
 
     def whiten(m: DataFrame) -> DataFrame:
         value, base = np.linalg.eigh(gram_of("q", "q", m))
