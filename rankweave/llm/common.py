@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,31 @@ def forget(df: DataFrame) -> None:
     _delete(df.sparkSession, df._stored_at)
 
 
+#: Rows of an Arrow batch that a worker looks at together.
+PIECE_ROWS = 512
+
+
+def in_pieces(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over views of ``PIECE_ROWS`` rows of each batch, so what it makes of them stays small.
+
+    Workers outlive their tasks: at a task's end, memory that it freed goes back to the system.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECE_ROWS):
+                yield batch.slice(at, PIECE_ROWS)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(cut(batches))
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def fold(text):
     """Lower-cases A-Z only."""
     return F.translate(text, UPPER, LOWER)

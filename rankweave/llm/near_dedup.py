@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, components, stored
+from .common import KeyFilter, components, in_pieces, stored
 
 BANDS, ROWS = 56, 6
 HASHES = BANDS * ROWS
@@ -176,7 +176,7 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, doc_i
                 ["doc_id", "n_shingles", "set_hash", "bands"],
             )
 
-    table = stored(named.mapInArrow(describe, "doc_id long, n_shingles long, set_hash binary, bands array<long>"), "bands")
+    table = stored(named.mapInArrow(in_pieces(describe), "doc_id long, n_shingles long, set_hash binary, bands array<long>"), "bands")
     node = F.xxhash64("set_hash").alias("node")
     banded = table.where("n_shingles > 0").select(F.explode("bands").alias("band"), node)
     shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("band", "low")
@@ -222,7 +222,7 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, doc_i
         if rows:
             yield links()
 
-    links = texts.repartition("task").sortWithinPartitions("task").mapInArrow(link, "a long, b long")
+    links = texts.repartition("task").sortWithinPartitions("task").mapInArrow(in_pieces(link), "a long, b long")
     groups = components(links)
     known = heads.join(groups, heads["head"] == groups["node"], "left").where("copies > 1 or component is not null")
     known = known.select("set_hash", F.coalesce("component", "head").alias("first"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, held_out
+from .common import crc_mod, held_out, in_pieces
 from .near_dedup import WordHashes, bands, shingles, signature
 
 BITS = 18
@@ -343,7 +343,7 @@ def scored(docs: DataFrame, machine: Machine, doc_id: str, text: str, threshold:
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
     ])
-    return docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id, 4).alias("held_out"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id, 4).alias("held_out"), F.col(text).alias("text")).mapInArrow(in_pieces(run), schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, per_label: int = 1500, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
@@ -370,4 +370,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, per_label: int = 1500, thr
             p = m.probability(m.evidence(texts, kept))
             yield batch.filter(pa.array((p < threshold) | np.array([not t.strip() for t in texts], bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(in_pieces(run), docs.schema)
