@@ -15,6 +15,7 @@ subsequence. That vector is what workers use, so a string costs its own length o
 The machine is fitted on a bounded sample of labelled rows (``per_label`` documents of each
 label, by a hash of the id) and, of those, on at most ``CLEAN_STRINGS`` strings of clean
 documents and ``LANDMARKS`` + ``HARD`` landmarks; every document is scored on its whole text.
+One task fits it, as the sample is bounded; the driver gets the weights only.
 
 Results: null and empty texts have a score, the curve's value without any string, and
 ``without_toxic`` always keeps them; a null id is not held out and not learned from; labels
@@ -323,8 +324,17 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int, doc_id: str, text:
         chance = F.when(F.col("_y") == y, F.lit(per_label * float(1 << 30) / n)).otherwise(chance)
     # about 2 * per_label ids: bounded, so broadcast
     taken = F.broadcast(known.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 30)) < chance))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(taken, "_id").where("_text is not null").select("_text", "_y").collect()
-    return Machine(sorted((r["_text"], r["_y"]) for r in rows))
+    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(taken, "_id").where("_text is not null").select("_text", "_y")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Machine(sorted(row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+        weights = m.weights.astype(np.float32).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary()), pa.array([m.bias]), pa.array([m.curve.tolist()])], ["weights", "bias", "curve"])
+
+    machine = Machine([])
+    for r in sample.repartition(1).mapInArrow(in_pieces(fit), "weights binary, bias double, curve array<double>").collect():
+        machine.weights, machine.bias, machine.curve = np.frombuffer(r["weights"], np.float32), r["bias"], np.array(r["curve"])
+    return machine
 
 
 def scored(docs: DataFrame, machine: Machine, doc_id: str, text: str, threshold: float) -> DataFrame:
