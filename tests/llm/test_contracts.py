@@ -5,10 +5,11 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankweave.llm import language_id, sharding, toxicity
-from rankweave.llm.common import KeyFilter, components, stored, without_ids
+from rankweave.llm.common import PIECE_ROWS, KeyFilter, components, in_pieces, stored, without_ids
 from rankweave.llm.decontamination import decontaminate
 from rankweave.llm.exact_dedup import exact_dedup
 from rankweave.llm.language_id import identify
@@ -223,3 +224,17 @@ def test_html_lines_of_nulls_empty_tables_and_long_pages(spark):
 def test_stored_tables_are_read_back(spark):
     d = stored(spark.range(3).toDF("n"), "three")
     assert d.count() == 3 and d.schema["n"].dataType.simpleString() == "bigint"
+
+
+def test_pieces_hold_all_rows_in_order():
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], ["n"]) for n in (0, 1, PIECE_ROWS, 3 * PIECE_ROWS + 1)]
+    got = list(in_pieces(lambda pieces: pieces)(iter(batches)))
+    assert max(p.num_rows for p in got) == PIECE_ROWS
+    assert [x for p in got for x in p.column(0).to_pylist()] == [x for b in batches for x in b.column(0).to_pylist()]
+    assert list(in_pieces(lambda pieces: pieces)(iter([]))) == []
+
+
+def test_machine_without_sample_scores_nothing_as_toxic(spark):
+    d = docs_of(spark, [(1, "good day"), (2, None)], "doc_id long, text string")
+    got = score_toxicity(d, spark.createDataFrame([], LABELS)).collect()
+    assert len(got) == 2 and all(r["score"] < 1e-8 and r["predicted"] == 0 for r in got)
