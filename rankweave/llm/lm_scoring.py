@@ -8,11 +8,15 @@ documents. A text's first context is its begin; its last token is the end.
 
 How counts meet texts: documents are dealt into blocks of bounded size. A block sends its
 distinct unigrams and bigrams, sorted, with its counts, cut by ranges of the key. A range adds
-up all blocks' counts and answers each block in the order of its keys. The block looks up its
+up its blocks' counts and answers each block in the order of its keys. The block looks up its
 tokens in the answer. So a frequent word is one entry of a block and never a hot key; what is
 moved is at most one entry a distinct n-gram and block, and no task holds the whole model.
 Counts per token are stored packed; EM and scoring read them, not the texts.
 
+Ranges add up ``GROUP`` blocks at most. Of more blocks, the ranges of a group do as blocks do: they
+send what they added up to ranges of ``GROUP`` groups, and so on, and answers go back the same way.
+So a block or range sends at most ``GROUP`` pieces, and pieces grow in line with the corpus.
+
 Results: null and empty texts have one token, the end; a null id is in the training part;
 repeated rows are each scored, and count each time; without training documents all words are
 unknown; an empty table gives an empty result; ids are whole numbers (text ids that are not
@@ -31,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, stored
+from .common import crc_mod, forget, stored
 
 #: Text of a block, and blocks for each range of keys: a range holds as many entries as two
 #: blocks do, so both fit a worker, and there are half as many ranges as blocks.
 BLOCK_BYTES = 10_000_000
 RANGE_BLOCKS = 2
+#: Blocks, or groups of them, whose counts one set of ranges adds up; rows of partial totals.
+GROUP, TOTALS = 4096, 256
 WORDS_KEPT = 300_000
 #: A key is 56 bits of a hash; the byte below tells its kind.
 UNIGRAM, BIGRAM, BEGIN = 0, 1, 2
@@ -101,6 +107,61 @@ def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
+def level_ranges(blocks: int) -> list[int]:
+    """Ranges of a group on each level, until one group holds all blocks."""
+    out, held = [], 1
+    while not out or held < blocks:
+        held *= GROUP
+        out.append(max(4, -(-min(blocks, held) // RANGE_BLOCKS)))
+    return out
+
+
+PIECE = "part long, block long, n long, keys binary, counts binary"
+
+
+def _pieces(keys: np.ndarray, counts: np.ndarray, ranges: int, group: int, sender: int) -> pa.Table:
+    """Sorted keys and their two counts, cut by the ranges of a group."""
+    cuts = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
+    out = []
+    for p in np.flatnonzero(np.diff(cuts)):
+        i, j = int(cuts[p]), int(cuts[p + 1])
+        k = keys[i:j]
+        out.append((group * ranges + int(p), sender, j - i, squeeze(np.diff(k, prepend=np.uint64(0))), squeeze(counts[:, i:j].ravel())))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    cols = list(zip(*out, strict=True)) or [()] * 5
+    return pa.table([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["part", "block", "n", "keys", "counts"])
+
+
+def _merged_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a range's pieces, and where each piece's keys are among them."""
+    n = table.column("n").to_pylist()
+    keys = np.concatenate([np.cumsum(expand(k, m)) for k, m in zip(table.column("keys").to_pylist(), n, strict=True)])
+    return np.unique(keys, return_inverse=True)
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_merged_keys``, and both counts added up."""
+    distinct, at = _merged_keys(table)
+    n = table.column("n").to_pylist()
+    counts = np.concatenate([expand(c, 2 * m).reshape(2, m) for c, m in zip(table.column("counts").to_pylist(), n, strict=True)], axis=1)
+    return distinct, at, np.stack([np.bincount(at, weights=c, minlength=len(distinct)).astype(np.int64) for c in counts])
+
+
+def _answers(table: pa.Table, at: np.ndarray, total: np.ndarray) -> pa.Table:
+    """The totals for each piece's sender, in the order of its keys."""
+    n = table.column("n").to_pylist()
+    ends = np.cumsum(n)[:-1]
+    out = [squeeze(np.concatenate(x)) for x in zip(*(np.split(t[at], ends) for t in total), strict=True)]
+    return pa.table({"block": table.column("block"), "part": table.column("part"), "n": table.column("n"), "total": pa.array(out, pa.binary())})
+
+
+def _in_order(answers: pa.Table) -> np.ndarray:
+    """Totals for one sender from all its ranges: (2 x keys)."""
+    order = np.argsort(answers.column("part").to_numpy())
+    n, data = answers.column("n").to_pylist(), answers.column("total").to_pylist()
+    return np.concatenate([expand(data[i], 2 * n[i]).reshape(2, n[i]) for i in order], axis=1)
+
+
 def token_counts(docs: DataFrame, modulus: int, held: int, doc_id: str, text: str) -> tuple[DataFrame, dict]:
     """Stored (doc_id, held_out, em, n, counts), and the totals.
 
@@ -111,7 +172,7 @@ def token_counts(docs: DataFrame, modulus: int, held: int, doc_id: str, text: st
     mod = F.coalesce(crc_mod(doc_id, modulus), F.lit(0))
     size = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
     blocks = max(1, -(-(size[0] or 0) // BLOCK_BYTES), -(-size[1] // 100_000))
-    ranges = max(4, -(-blocks // RANGE_BLOCKS))
+    levels = level_ranges(blocks)
     # ids decide the block; the text does where ids are few or missing
     block = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(blocks))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), mod.cast("int").alias("mod"), block.alias("block"))
@@ -124,46 +185,37 @@ def token_counts(docs: DataFrame, modulus: int, held: int, doc_id: str, text: st
         b = Block(table.column("text").to_pylist())
         train, rest = masks(table)
         of_all = b.counts(train)
-        of_held = of_all - b.counts(rest)
-        part = _range_of(b.keys, ranges)
-        cuts = np.searchsorted(part, np.arange(ranges + 1))
         number = table.column("block")[0].as_py()
-        out: list[list] = [[], [], [], [], []]
-        for p in range(ranges):
-            i, j = int(cuts[p]), int(cuts[p + 1])
-            if i < j:
-                k = b.keys[i:j]
-                row = (p, number, j - i, squeeze(np.diff(k, prepend=np.uint64(0))), squeeze(np.concatenate([of_all[i:j], of_held[i:j]])))
-                for held_, x in zip(out, row, strict=True):
-                    held_.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["part", "block", "n", "keys", "counts"])
+        return _pieces(b.keys, np.stack([of_all, of_all - b.counts(rest)]), levels[0], number // GROUP, number)
+
+    def send_on(level: int):
+        def send(table: pa.Table) -> pa.Table:
+            keys, _, total = _merged(table)
+            part = table.column("part")[0].as_py()
+            return _pieces(keys, total, levels[level], part // levels[level - 1] // GROUP, part)
+
+        return send
 
     def answer(table: pa.Table) -> pa.Table:
-        n = table.column("n").to_pylist()
-        keys = np.concatenate([np.cumsum(expand(k, m)) for k, m in zip(table.column("keys").to_pylist(), n, strict=True)])
-        counts = np.concatenate([expand(c, 2 * m).reshape(2, m) for c, m in zip(table.column("counts").to_pylist(), n, strict=True)], axis=1)
-        distinct, at = np.unique(keys, return_inverse=True)
-        total = [np.bincount(at, weights=c, minlength=len(distinct)).astype(np.int64) for c in counts]
-        ends = np.cumsum(n)[:-1]
-        out = [[squeeze(np.concatenate(x))] for x in zip(*(np.split(t[at], ends) for t in total), strict=True)]
+        distinct, at, total = _merged(table)
         word, begin = distinct & np.uint64(255) == UNIGRAM, distinct == BEGIN_KEY
         without = [total[0], total[0] - total[1]]
         stats = np.array([x for t in without for x in (t[word].sum(), (t[word] > 0).sum(), t[begin].sum())])
         part = table.column("part")[0].as_py()
-        return pa.table({
-            "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "part": pa.array([part] * (len(n) + 1), pa.int64()),
-            "n": pa.array([*n, 3], pa.int64()), "total": pa.array([*(x[0] for x in out), squeeze(stats)], pa.binary()),
-        })
+        row = pa.table({"block": [-1 - part % TOTALS], "part": [part], "n": [3], "total": pa.array([squeeze(stats)], pa.binary())})
+        return pa.concat_tables([_answers(table, at, total), row])
+
+    def hand_down(pieces: pa.Table, answers: pa.Table) -> pa.Table:
+        if pieces.num_rows == 0:  # totals pass
+            return answers.select(["block", "part", "n", "total"])
+        return _answers(pieces, _merged_keys(pieces)[1], _in_order(answers))
 
     def look_up(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        if texts.num_rows == 0:  # block -1: the totals of all ranges
+        if texts.num_rows == 0:  # totals of some of the ranges
             sums = sum(expand(x, 6).astype(np.int64) for x in answers.column("total").to_pylist())
             return pa.table([pa.nulls(1, pa.int64()), pa.array([-1]), pa.array([6]), pa.array([squeeze(sums)], pa.binary())], ["doc_id", "mod", "n", "counts"])
         b = Block(texts.column("text").to_pylist())
-        order = np.argsort(answers.column("part").to_numpy())
-        n, data = answers.column("n").to_pylist(), answers.column("total").to_pylist()
-        total = np.concatenate([expand(data[i], 2 * n[i]).reshape(2, n[i]) for i in order], axis=1)
+        total = _in_order(answers)
         total[1] = total[0] - total[1]
         mod_ = texts.column("mod").to_numpy()
         out = []
@@ -175,12 +227,20 @@ def token_counts(docs: DataFrame, modulus: int, held: int, doc_id: str, text: st
         return pa.table([texts.column("doc_id").cast(pa.int64()), pa.array(mod_, pa.int64()), pa.array(b.lengths), pa.array(out, pa.binary())], ["doc_id", "mod", "n", "counts"])
 
     by_block = d.groupBy("block")
-    asked = by_block.applyInArrow(ask, "part long, block long, n long, keys binary, counts binary")
-    answers = asked.groupBy("part").applyInArrow(answer, "block long, part long, n long, total binary")
+    asked = [by_block.applyInArrow(ask, PIECE)]
+    for level in range(1, len(levels)):
+        asked[-1] = stored(asked[-1], "pieces")  # sent on now, and read again by the answers
+        asked.append(asked[-1].groupBy("part").applyInArrow(send_on(level), PIECE))
+    reply = "block long, part long, n long, total binary"
+    answers = asked.pop().groupBy("part").applyInArrow(answer, reply)
+    for pieces in reversed(asked):
+        answers = pieces.groupBy("part").cogroup(answers.groupBy("block")).applyInArrow(hand_down, reply)
     found = by_block.cogroup(answers.groupBy("block")).applyInArrow(look_up, "doc_id long, mod long, n long, counts binary")
     table = stored(found, "counts")
-    got = table.where("mod = -1").select("counts").first()
-    sums = expand(got[0], 6).astype(np.int64).tolist() if got else [0] * 6
+    for pieces in asked:
+        forget(pieces)
+    got = table.where("mod = -1").select("counts").collect()  # TOTALS rows at most
+    sums = [sum(x) for x in zip(*(expand(r[0], 6).astype(np.int64).tolist() for r in got), strict=True)] or [0] * 6
     names = ("tokens", "types", "documents")
     totals = {"all": dict(zip(names, sums[:3], strict=True)), "rest": dict(zip(names, sums[3:], strict=True))}
     return table.where("mod >= 0").withColumn("doc_id", F.col("doc_id").cast(kind)), totals

@@ -239,6 +239,26 @@ def test_lm_scores(spark, rows):
     assert lm_scoring.score_documents(frame(spark, [])).isEmpty()
 
 
+@pytest.mark.parametrize("group", [2, 3])
+def test_lm_scores_over_groups_of_blocks(spark, rows, monkeypatch, group):
+    whole = {tuple(r)[:5]: tuple(r)[5:] for r in lm_scoring.score_documents(frame(spark, rows)).collect()}
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", sum(len((t or "").encode()) for _, t, _ in rows) // 7)
+    monkeypatch.setattr(lm_scoring, "GROUP", group)
+    assert len(lm_scoring.level_ranges(7)) == {2: 3, 3: 2}[group]
+    parts = {tuple(r)[:5]: tuple(r)[5:] for r in lm_scoring.score_documents(frame(spark, rows)).collect()}
+    assert whole.keys() == parts.keys()
+    for k, scores in whole.items():
+        assert parts[k] == pytest.approx(scores)
+
+
+def test_pieces_grow_in_line_with_blocks():
+    sent = {n: n * lm_scoring.level_ranges(n)[0] for n in (10**4, 10**5, 10**6)}
+    assert sent[10**6] == 10 * sent[10**5] == 100 * sent[10**4]
+    for n in sent:
+        ranges = lm_scoring.level_ranges(n)
+        assert all(b / a <= lm_scoring.GROUP for a, b in zip(ranges, ranges[1:]))
+
+
 def test_decontamination(spark, rows):
     w = rows[7][1].split()
     items = [(1, " ".join(w[2:16])), (22, "  ".join(w[5:9]).upper()), (3, None), (4, "--"), (5, rows[0][1] + " zzz"), (6, "Ünïcode É")]
