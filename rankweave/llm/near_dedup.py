@@ -9,11 +9,14 @@
    already in one component need no look.
 4. Components of the verified links are the groups; the smallest id of a group stays.
 
-Equal sets share one node, so copies never pair up. Clusters over ``CHUNK`` sets or
-``CHUNK_SHINGLES`` shingles are cut into chunks, and each pair of chunks is a task, so memory is
-bounded and no link is lost. The chance that a pair at the threshold shares no band is
-(1 - 0.8**6)**56 < 1e-7. Texts that are in no cluster never move: a fixed-size filter of the
-members' ids tells which rows are joined with the clusters.
+Equal sets share one node, so copies never pair up. In a cluster over ``STAR`` sets each member is
+first verified with the least member of its bands only, which is work in line with the cluster's
+size, and cut at will. Of what this joins, pairs need no look any more; members stay in the
+search only where a band of theirs also holds members of another joined group, and make new,
+smaller clusters. Clusters over ``CHUNK`` sets or ``CHUNK_SHINGLES`` shingles are cut into chunks, and
+each pair of chunks is a task, so memory is bounded and no link is lost. The chance that a pair
+at the threshold shares no band is (1 - 0.8**6)**56 < 1e-7. Texts that are in no cluster never
+move: a fixed-size filter of the members' ids tells which rows are joined with the clusters.
 
 Results: null texts and texts without words have an empty set and no links; equal ids are one
 node; a row without id takes its equal texts' group, or is kept on its own; repeated rows are
@@ -29,7 +32,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import KeyFilter, components, in_pieces, stored
@@ -38,7 +41,7 @@ BANDS, ROWS = 56, 6
 HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-6
-CHUNK, CHUNK_SHINGLES = 2_000, 3_000_000
+STAR, CHUNK, CHUNK_SHINGLES = 500, 2_000, 3_000_000
 WORDS_KEPT = 300_000
 _draw = np.random.default_rng(20240)
 FACTOR = (_draw.integers(0, 2**31, HASHES, dtype=np.uint32) << 1) | np.uint32(1)
@@ -106,19 +109,20 @@ def least_matches(threshold: float, miss: float) -> list[int]:
     return out
 
 
-def verify(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, miss: float = MISS) -> np.ndarray:
+def verify(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, miss: float = MISS, known: np.ndarray | None = None) -> np.ndarray:
     """Component number of each set, by links of ``percent`` similarity or more.
 
-    ``side``: only pairs whose sides differ are looked at.
+    ``side``: only pairs whose sides differ are looked at. ``known``: sets of one value are joined.
     """
     n = len(sets)
-    component = np.arange(n)
+    component = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1]
     if n < 2:
         return component
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     sizes, sets = sizes[order], [sets[i] for i in order]
     side = None if side is None else side[order]
+    component = component if known is None else component[order]
     sig = np.stack([signature(s) for s in sets])
     band = bands(sig)
     least = least_matches(percent / 100, miss)
@@ -149,11 +153,40 @@ def verify(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None,
                 component[component == component[j]] = component[i]
             js = js[component[js] != component[i]]
             width = min(64, width * 2)
+    # each component is named by its first set
+    names, first, at = np.unique(component, return_index=True, return_inverse=True)
     out = np.empty(n, np.int64)
-    out[order] = order[component]
+    out[order] = order[first[at]]
     return out
 
 
+def _parts(most: int) -> Column:
+    return F.ceil(F.greatest(F.count("*") / most, F.sum("size") / CHUNK_SHINGLES)).cast("int")
+
+
+def _star_tasks(large: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Tasks that hold some members and, as the other side, the least member of their bands."""
+    low = pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
+    rays = large.join(low, "node").select("head", "known", "size", "low")
+    rays = rays.join(rays.groupBy("low").agg(_parts(STAR).alias("parts")), "low")
+    part = F.pmod(F.xxhash64("head"), F.col("parts")).cast("int")
+    rays = rays.select("head", "known", F.lit(0).alias("chunk"), F.xxhash64("low", part).alias("task"), "low")
+    hubs = large.select(F.col("node").alias("low"), "head", "known")
+    hubs = rays.select("low", "task").distinct().join(hubs, "low").select("head", "known", F.lit(1).alias("chunk"), "task")
+    return rays.drop("low").union(hubs).withColumn("across", F.lit(True))
+
+
+def _pair_tasks(members: DataFrame) -> DataFrame:
+    """Tasks that hold a cluster, or two chunks of one, or one chunk."""
+    sizes = members.groupBy("component").agg(_parts(CHUNK).alias("chunks")).where("chunks > 1")
+    members = members.join(sizes, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("head"), F.col("chunks")).cast("int"))
+    other = F.sequence(F.lit(0), F.col("chunks") - 1)
+    members = members.select("head", "known", "component", "chunk", F.explode(other).alias("other"))
+    task = F.xxhash64("component", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    return members.select("head", "known", "chunk", task.alias("task"), (F.col("chunk") != F.col("other")).alias("across"))
+
+
 def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
     kind = docs.schema[doc_id].dataType
@@ -180,37 +213,26 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, doc_i
     node = F.xxhash64("set_hash").alias("node")
     banded = table.where("n_shingles > 0").select(F.explode("bands").alias("band"), node)
     shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("band", "low")
-    pairs = banded.join(shared, "band").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    pairs = stored(banded.join(shared, "band").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
     clusters = components(pairs)
 
     sets = table.where("n_shingles > 0").groupBy("set_hash", node)
     heads = stored(sets.agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"), F.max("n_shingles").alias("size")), "heads")
-    members = stored(heads.join(clusters, "node").where("head is not null").select("head", "component", "size"), "members")
-    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_SHINGLES)).cast("int")
-    sizes = members.groupBy("component").agg(chunks.alias("chunks")).where("chunks > 1")
-    members = members.join(sizes, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("head"), F.col("chunks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("chunks") - 1)
-    members = members.select("head", "component", "chunk", F.explode(other).alias("other"))
-    members = members.select(
-        "head", "chunk", F.xxhash64("component", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("task"), (F.col("chunk") != F.col("other")).alias("across")
-    )
-    members = stored(members, "tasks")
-    clustered = named.where(KeyFilter(members, F.col("head")).may_have(F.col("doc_id")))
-    texts = clustered.join(members, clustered["doc_id"] == members["head"]).select("task", "across", "chunk", "head", "text")
+    members = heads.join(clusters, "node").where("head is not null").select("node", "head", "size", "component")
+    members = stored(members.withColumn("known", F.col("head")), "members")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         now, rows = None, []
 
         def links() -> pa.RecordBatch:
-            ids, _, chunk, sets = (list(x) for x in zip(*rows, strict=True))
-            roots = verify(sets, percent, np.array(chunk) if rows[0][1] else None)
+            ids, _, chunk, known, sets = (list(x) for x in zip(*rows, strict=True))
+            roots = verify(sets, percent, np.array(chunk) if rows[0][1] else None, known=np.array(known))
             pair = [(ids[i], ids[r]) for i, r in enumerate(roots) if ids[i] != ids[r]]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pair], pa.int64()), pa.array([x[1] for x in pair], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            task, across, chunk, head, text_ = batch.columns
+            task, across, chunk, head, known, text_ = batch.columns
             for i in range(batch.num_rows):
                 if rows and task[i].as_py() != now:
                     yield links()
@@ -218,11 +240,32 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, doc_i
                 now = task[i].as_py()
                 s = shingles(text_[i].as_py(), shingle_words, hashes)
                 if len(s):
-                    rows.append((head[i].as_py(), across[i].as_py(), chunk[i].as_py(), s))
+                    rows.append((head[i].as_py(), across[i].as_py(), chunk[i].as_py(), known[i].as_py(), s))
         if rows:
             yield links()
 
-    links = texts.repartition("task").sortWithinPartitions("task").mapInArrow(in_pieces(link), "a long, b long")
+    def links_in(tasks: DataFrame) -> DataFrame:
+        tasks = stored(tasks.select("head", "known", "chunk", "task", "across"), "tasks")
+        clustered = named.where(KeyFilter(tasks, F.col("head")).may_have(F.col("doc_id")))
+        texts = clustered.join(tasks, clustered["doc_id"] == tasks["head"]).select("task", "across", "chunk", "head", "known", "text")
+        return stored(texts.repartition("task").sortWithinPartitions("task").mapInArrow(in_pieces(link), "a long, b long"), "links")
+
+    large = members.groupBy("component").agg(_parts(STAR).alias("parts")).where("parts > 1").select("component")
+    large = stored(members.join(large, "component"), "large")
+    links = None
+    if not large.isEmpty():
+        links = links_in(_star_tasks(large, pairs))
+        joined = components(links).select(F.col("node").alias("head"), F.col("component").alias("now"))
+        large = large.join(joined, "head", "left").withColumn("known", F.coalesce("now", "known"))
+        large = stored(large.select("node", "head", "size", "known"), "large")
+        between = banded.join(large, "node").select("band", "node", "known")
+        undecided = between.groupBy("band").agg(F.min("known").alias("least"), F.max("known").alias("most"), F.min("node").alias("low")).where("least <> most")
+        again = between.join(undecided, "band").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+        rest = large.join(components(again), "node").select("head", "size", "component", "known")
+        first = large.select("head").withColumnRenamed("head", "seen")
+        members = members.join(first, members["head"] == first["seen"], "left_anti").select("head", "size", "component", "known").union(rest)
+    found = links_in(_pair_tasks(members))
+    links = found if links is None else links.union(found)
     groups = components(links)
     known = heads.join(groups, heads["head"] == groups["node"], "left").where("copies > 1 or component is not null")
     known = known.select("set_hash", F.coalesce("component", "head").alias("first"))

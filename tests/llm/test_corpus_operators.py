@@ -137,12 +137,27 @@ def test_near_dedup_is_brute_force(spark, rows):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), find(i), find(i) == i)
 
 
-def test_near_dedup_in_chunks(spark, rows, monkeypatch):
+@pytest.mark.parametrize(("star", "chunk"), [(10**6, 7), (5, 7), (2, 3)])
+def test_near_dedup_in_chunks(spark, rows, monkeypatch, star, chunk):
+    # a chain: each text is close to the next, but not to those further on; and a group around one text
+    words = [f"w{k}" for k in range(400)]
+    chain = [(10**6 + k, " ".join(words[4 * k : 4 * k + 100]), "chain") for k in range(30)]
+    group = [(2 * 10**6 + k, " ".join(words[:k] + ["x"] + words[k : 120]), "group") for k in range(30)]
+    rows = rows + chain + group
     whole = sorted(map(tuple, near_dedup.near_dedup(frame(spark, rows), 4, 80).collect()))
-    monkeypatch.setattr(near_dedup, "CHUNK", 7)
+    monkeypatch.setattr(near_dedup, "STAR", star)
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
     assert sorted(map(tuple, near_dedup.near_dedup(frame(spark, rows), 4, 80).collect())) == whole
 
 
+def test_verified_sets_start_from_known_groups():
+    sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 0, 50, 52, 500)]
+    alone = near_dedup.verify(sets, 80)
+    assert alone[0] == alone[1] and alone[2] == alone[3] and len(set(alone)) == 3
+    told = near_dedup.verify(sets, 80, known=np.array([7, 8, 9, 10, 7]))
+    assert told[0] == told[1] == told[4] and told[2] == told[3] and len(set(told)) == 2
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
