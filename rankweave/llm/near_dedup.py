@@ -12,8 +12,8 @@
 Equal sets share one node, so copies never pair up. In a cluster over ``STAR`` sets each member is
 first verified with the least member of its bands only, which is work in line with the cluster's
 size, and cut at will. Of what this joins, pairs need no look any more; members stay in the
-search only where a band of theirs also holds members of another joined group, and make new,
-smaller clusters. Clusters over ``CHUNK`` sets or ``CHUNK_SHINGLES`` shingles are cut into chunks, and
+search only where the least member of one of their bands is not joined with all members of its
+bands, and make new, smaller clusters. Clusters over ``CHUNK`` sets or ``CHUNK_SHINGLES`` shingles are cut into chunks, and
 each pair of chunks is a task, so memory is bounded and no link is lost. The chance that a pair
 at the threshold shares no band is (1 - 0.8**6)**56 < 1e-7. Texts that are in no cluster never
 move: a fixed-size filter of the members' ids tells which rows are joined with the clusters.
@@ -258,9 +258,11 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, doc_i
         joined = components(links).select(F.col("node").alias("head"), F.col("component").alias("now"))
         large = large.join(joined, "head", "left").withColumn("known", F.coalesce("now", "known"))
         large = stored(large.select("node", "head", "size", "known"), "large")
-        between = banded.join(large, "node").select("band", "node", "known")
-        undecided = between.groupBy("band").agg(F.min("known").alias("least"), F.max("known").alias("most"), F.min("node").alias("low")).where("least <> most")
-        again = between.join(undecided, "band").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+        # where all members of a band are joined with its least one, nothing is left to decide
+        ends = pairs.join(large.select(F.col("node").alias("a"), F.col("known").alias("known_a")), "a")
+        ends = ends.join(large.select(F.col("node").alias("b"), F.col("known").alias("known_b")), "b", "left")
+        ends = stored(ends.select("a", "b", (~F.col("known_a").eqNullSafe(F.col("known_b"))).alias("open")), "ends")
+        again = ends.join(ends.where("open").select("b").distinct(), "b").select("a", "b")
         rest = large.join(components(again), "node").select("head", "size", "component", "known")
         first = large.select("head").withColumnRenamed("head", "seen")
         members = members.join(first, members["head"] == first["seen"], "left_anti").select("head", "size", "component", "known").union(rest)
