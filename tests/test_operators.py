@@ -251,3 +251,25 @@ def test_padding_segments(spark):
     d = spark.range(1).select(F.array(F.lit(7), F.lit(8)).alias("ids"))
     row = d.select(words.segments("ids", 4, left=True).alias("a"), words.segments("ids", 4).alias("b"), words.segments("ids", 1, True).alias("c")).first()
     assert (row["a"], row["b"], row["c"]) == ([4, 4, 0, 0], [0, 0, 0, 0], [0])
+
+
+def read_first(df):
+    """The joins and aggregates of the optimised plan, from the top."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return [line for line in lines if any(word in line for word in ("Join ", "Aggregate "))]
+
+
+def test_training_pairs_are_made_last(spark):
+    y = spark.createDataFrame([(0, 5, 1.0), (0, 5, 1.0), (0, 7, 1.0), (1, 6, 1.0), (2, 9, 1.0)], M)
+    z = spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0), (1, 0, 1.0), (1, 0, 1.0), (3, 1, 1.0)], M)
+    codes = spark.createDataFrame([(5, 0), (6, 0), (7, 1), (5, 1)], "label long, code long")
+    got = training.jobs(y, z, codes)
+    want = []
+    for i, code, _ in z.collect():
+        for label, c in codes.collect():
+            if c == code:
+                held = sum((r["i"], r["j"]) == (i, label) for r in y.collect())
+                want += [(code, label, i, 1 if held else -1)] * max(1, held)
+    assert got.columns == ["code", "label", "i", "sign"] and sorted(map(tuple, got.collect())) == sorted(want)
+    # the cluster's labels are no input of the join with the instances' own labels
+    assert "(code" in read_first(got)[0] and "label" not in read_first(got)[0].split("Join")[1]
