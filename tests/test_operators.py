@@ -273,3 +273,11 @@ def test_training_pairs_are_made_last(spark):
     assert got.columns == ["code", "label", "i", "sign"] and sorted(map(tuple, got.collect())) == sorted(want)
     # the cluster's labels are no input of the join with the instances' own labels
     assert "(code" in read_first(got)[0] and "label" not in read_first(got)[0].split("Join")[1]
+
+
+def test_expanded_codes_are_summed_before_the_labels_come_in(spark):
+    codes = spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.25), (0, 1, 1.0), (1, 1, 2.0), (2, 9, 1.0)], "i long, code long, v double")
+    of = spark.createDataFrame([(5, 0), (6, 0), (6, 1), (7, 1), (8, 1), (8, 1)], "label long, code long")
+    got = ranking.expand_codes(codes, of)
+    assert {(r["i"], r["label"]): r["parent"] for r in got.collect()} == {(0, 5): 0.5, (0, 6): 1.75, (0, 7): 1.25, (0, 8): 2.5, (1, 6): 2.0, (1, 7): 2.0, (1, 8): 4.0}
+    assert got.count() == 7 and "Join" in read_first(got)[0]
