@@ -100,7 +100,8 @@ def projection(features: DataFrame, dims: int, seed: int) -> DataFrame:
 
 
 def projected(m: DataFrame, dims: int, seed: int) -> DataFrame:
-    return sparse.matmul(m, projection(m, dims, seed))
+    """Products to nine decimals, so that values on an edge of a bin are the same in any order of the sums."""
+    return sparse.matmul(m, projection(m, dims, seed)).withColumn("v", F.round("v", 9))
 
 
 def ordinal_bins(z: DataFrame, kdim: int) -> DataFrame:

@@ -253,6 +253,21 @@ def test_padding_segments(spark):
     assert (row["a"], row["b"], row["c"]) == ([4, 4, 0, 0], [0, 0, 0, 0], [0])
 
 
+def test_uniform_bins_on_edges(spark):
+    # values to nine decimals on an edge between bins fall where the SQL's quotient puts them
+    values = [0.0, 0.1, 0.2, 0.3, 0.7, 0.9, 1.1, 1.3, 2.1, 2.9, 3.3, *(round(k * 5 / 1024, 9) for k in range(1, 400, 3))]
+    for k in (2, 4, 5, 8):
+        for top in (0.9, 2.1, 3.3, round(1365 / 1024, 9)):
+            own = [v for v in values if v < top] + [top]
+            rows = spark.createDataFrame([(i, 0, v) for i, v in enumerate(own)], M)
+            got = {r["i"]: r["q"] for r in clustering.uniform_bins(rows, k).collect()}
+            assert got == {i: k - 1 if v >= top else math.floor(v / (top / (k - 1))) for i, v in enumerate(own)}
+    one = spark.createDataFrame([(0, 0, 0.5), (1, 0, 0.5)], M)
+    assert [r["q"] for r in clustering.uniform_bins(one, 4).collect()] == [3, 3]
+    features = spark.createDataFrame([(i, 0, i / 1024) for i in range(9)], M)
+    assert all(r["v"] == round(r["v"], 9) for r in clustering.projected(features, 3, 0).collect())
+
+
 def read_first(df):
     """The joins and aggregates of the optimised plan, from the top."""
     lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
