@@ -296,3 +296,27 @@ def test_expanded_codes_are_summed_before_the_labels_come_in(spark):
     got = ranking.expand_codes(codes, of)
     assert {(r["i"], r["label"]): r["parent"] for r in got.collect()} == {(0, 5): 0.5, (0, 6): 1.75, (0, 7): 1.25, (0, 8): 2.5, (1, 6): 2.0, (1, 7): 2.0, (1, 8): 4.0}
     assert got.count() == 7 and "Join" in read_first(got)[0]
+
+
+def labelled_rows(n, seed=4):
+    """Rows of features and a constant, and the signs of two labels that overlap."""
+    rng = np.random.default_rng(seed)
+    x = np.c_[rng.normal(size=(n, 5)) / 2, np.ones(n)]
+    noisy = x[:, :2] + rng.normal(size=(n, 2)) / 2
+    return x, np.where(noisy > 0.2, 1, -1).astype(np.int8)
+
+
+def gradient_ratio(w, x, sign, o):
+    p = training.Primal(training.Rows.dense(x), sign, o)
+    return (np.abs(w + p.gradient(w)).max(axis=0) / np.abs(p.gradient(0 * w)).max(axis=0)).max()
+
+
+def test_products_of_sparse_rows():
+    rng = np.random.default_rng(8)
+    x = (rng.random((60, 200)) < 0.05) * rng.normal(size=(60, 200))
+    x[:, 0] = 1
+    rows = training.Rows([np.flatnonzero(r) for r in x], [r[np.flatnonzero(r)] for r in x])
+    v = rng.normal(size=(60, 3))
+    assert rows.full is None and np.allclose(rows.back(v), x[:, rows.columns].T @ v) and np.allclose(rows.times(rows.back(v)), x @ (x.T @ v))
+    twice = training.Rows([[3, 3, 9], [3, 9, 9]], [[1.0, 2.0, 4.0], [1.0, 5.0, 6.0]])  # entries of one place are summed
+    assert twice.full.tolist() == [[3.0, 4.0], [1.0, 11.0]]
