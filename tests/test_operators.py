@@ -311,6 +311,17 @@ def gradient_ratio(w, x, sign, o):
     return (np.abs(w + p.gradient(w)).max(axis=0) / np.abs(p.gradient(0 * w)).max(axis=0)).max()
 
 
+@pytest.mark.parametrize("solver", [1, 7])
+def test_smooth_losses_take_few_passes(monkeypatch, solver):
+    """The work is a few dozen matrix products, not steps row by row."""
+    x, sign = labelled_rows(5000)
+    passes, times = [], training.Rows.times
+    monkeypatch.setattr(training.Rows, "times", lambda self, w, *a: passes.append(1) or times(self, w, *a))
+    o = training.Options(solver=solver, max_iter=20, eps=1e-3)
+    w = training.solve(training.Rows.dense(x), sign, o)
+    assert 0 < len(passes) < 150 and gradient_ratio(w, x, sign, o) < 1e-4
+
+
 def test_products_of_sparse_rows():
     rng = np.random.default_rng(8)
     x = (rng.random((60, 200)) < 0.05) * rng.normal(size=(60, 200))
