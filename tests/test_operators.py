@@ -347,3 +347,17 @@ def test_several_blocks_are_at_the_optimum_in_few_rounds(spark, monkeypatch, sol
     for r in training.train_layer(cells, y, codes, z, 5, o).collect():
         w[r["j"], r["label"]] = r["w"]
     assert gradient_ratio(w, x, sign, o) < 1e-4
+
+
+def test_chain_of_several_blocks_is_that_of_one(spark, monkeypatch):
+    x, _ = labelled_rows(300)
+    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(300) for j in range(5)], M)
+    y = spark.createDataFrame([(i, int(2 * (x[i, 0] > 0) + (x[i, 1] > 0)), 1.0) for i in range(300)], M)
+    codes = spark.createDataFrame([(k, k // 2) for k in range(4)], "label long, code long")
+    monkeypatch.setattr(training, "ROUNDS", 12)
+    found = []
+    for size in (10_000, 900):
+        monkeypatch.setattr(training, "BLOCK_CELLS", size)
+        chain = training.train_hierarchical(cells, y, codes, 5, training.Options(eps=1e-3, threshold=0.0))
+        found.append([{(r["label"], r["j"]): r["w"] for r in w.collect()} for w, _ in chain])
+    assert len(found[0]) == 2 and found[1] == [pytest.approx(w, abs=1e-3) for w in found[0]]
