@@ -78,7 +78,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", t
     large = units.where(is_large).orderBy(*order).collect()  # at most 3 * LARGE * shards units
     residual = np.tile(everything / shards, (shards, 1))
     chosen = pack(np.array([[u["size"], u["tokens"], u["rows"]] for u in large], float).reshape(-1, 3), residual)
-    placed = spark.createDataFrame([(u["group"], u["piece"], int(s)) for u, s in zip(large, chosen, strict=True)], "group string, piece long, shard long")
+    # an Arrow table, as a list of rows would start more Python workers on the executors, which stay
+    placed = spark.createDataFrame(pa.table({"group": pa.array([u["group"] for u in large], pa.string()), "piece": pa.array([u["piece"] for u in large], pa.int64()), "shard": pa.array(chosen, pa.int64())}))
     small = units.where(~is_large)
     left = residual.clip(0).sum(axis=0)
     cells = max(1, -(-small.count() // CELL_GROUPS))

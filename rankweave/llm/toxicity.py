@@ -49,6 +49,8 @@ LANDMARKS, HARD = 192, 96
 CLEAN_STRINGS = 12_000
 KEPT = 300_000
 SLICE = 1_000_000
+#: Strings that are mapped, and rows that are solved for, at once; and numbers that are gathered for it.
+TEXTS, CELLS = 2_048, 1_000_000
 #: Margin from which a string counts as evidence of its own.
 SURELY = 0.5
 #: Log-odds from which on a string counts as toxic without a choice, if less than one string
@@ -115,21 +117,31 @@ def kernel_sums(texts: list[str], vectors: np.ndarray, place: np.ndarray | None
     features are the rows.
     """
     out = np.zeros((len(texts), vectors.shape[1]))
-    for places, h, w in features(texts):
-        for at in range(0, len(places), 128):
-            rows = h[at : at + 128]
-            sums = w @ vectors[rows if place is None else place[rows]]  # (f) x (t, f, v)
-            out[places[at : at + 128]] = sums / lengths_of(rows, w)[:, None]
+    for begin in range(0, len(texts), TEXTS):
+        for places, h, w in features(texts[begin : begin + TEXTS]):
+            step = min(128, max(1, CELLS // (h.shape[1] * vectors.shape[1])))
+            for at in range(0, len(places), step):
+                rows = h[at : at + step]
+                sums = w @ vectors[rows if place is None else place[rows]]  # (f) x (t, f, v)
+                out[begin + places[at : at + step]] = sums / lengths_of(rows, w)[:, None]
     return out
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Linear SVM (L2 regularised, squared hinge) by Newton steps on the active rows."""
-    w = np.zeros(x.shape[1])
+def squared_hinge(x: np.ndarray | list[np.ndarray], y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Linear SVM (L2 regularised, squared hinge) by Newton steps on the active rows; ``x``: rows, or parts of them."""
+    parts = [p[at : at + TEXTS] for p in (x if isinstance(x, list) else [x]) for at in range(0, len(p), TEXTS)]
+    ends = np.cumsum([len(p) for p in parts])[:-1]
+    y, cost = np.split(y, ends), np.split(cost, ends)
+    w = np.zeros(parts[0].shape[1])
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        a, c = x[active], cost[active]
-        new = np.linalg.solve((a * c[:, None]).T @ a + np.eye(x.shape[1]), (a * c[:, None]).T @ y[active])
+        left, right = np.eye(len(w)), np.zeros(len(w))
+        for p, label, each in zip(parts, y, cost, strict=True):
+            active = label * (p @ w) < 1
+            a = p[active]
+            b = (a * each[active, None]).T
+            left += b @ a
+            right += b @ label[active]
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-7:
             break
         w = new
@@ -157,8 +169,10 @@ class Landmarks:
         self.nystrom = base[:, good] / np.sqrt(value[good])
 
     def mapped(self, texts: list[str]) -> np.ndarray:
-        z = kernel_sums(texts, self.vectors, self.place) @ self.nystrom
-        return np.concatenate([z, np.ones((len(texts), 1))], axis=1)
+        out = np.ones((len(texts), self.nystrom.shape[1] + 1))
+        for at in range(0, len(texts), TEXTS):
+            out[at : at + TEXTS, :-1] = kernel_sums(texts[at : at + TEXTS], self.vectors, self.place) @ self.nystrom
+        return out
 
     def weights(self, solved: np.ndarray) -> tuple[np.ndarray, float]:
         """A solution in the map as weights of hashed subsequences, and its bias."""
@@ -206,14 +220,14 @@ class Machine:
                 witness.update(s for s in best if s in pure or (score[s] > least and rate[s] >= LEAN))
             chosen = sorted(witness)
             many = np.array([witness[s] for s in chosen], float)
-            x = np.concatenate([x0, space.mapped(chosen)])
             y = np.r_[-np.ones(len(negatives)), np.ones(len(chosen))]
             cost = np.r_[common, many / max(many.sum(), 1.0) * len(negatives) / 2]
-            self.weights, self.bias = space.weights(squared_hinge(x, y, cost))
+            self.weights, self.bias = space.weights(squared_hinge([x0, space.mapped(chosen)], y, cost))
             if turn == 0:
                 # clean strings that look toxic become landmarks, so that they can be told apart
                 look = np.maximum(self.margins(negatives) + 1, 0) * common
                 hard = [negatives[i] for i in np.argsort(-look, kind="stable")[:HARD]]
+                del space, x0  # one map at a time
                 space = Landmarks(telling[: LANDMARKS * 3 // 4] + usual[: LANDMARKS // 4] + hard)
                 x0 = space.mapped(negatives)
                 continue
@@ -221,6 +235,7 @@ class Machine:
             # a string that clean documents hold as well tells less, whatever its letters
             score = {s: margin[i] + min(0.0, rate[s]) for s, i in number_of.items()}
             least = 0.0 if pure else -np.inf
+        del space, x0, seen, toxic, clean, rate, score, name, bags, usual, telling
         evidence = self.evidence([t for t, _ in rows], {})
         label = np.array([y for _, y in rows], float)
         self.curve = logistic(evidence, label)
@@ -278,13 +293,15 @@ class Machine:
 
 def once(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     """Rows less near copies of an earlier row with the same label, whose every word would look telling."""
-    hashes, met, out = WordHashes(), set(), []
+    hashes, met, out = WordHashes(), {}, []
     for text, y in rows:
         held = shingles(text, 5, hashes)
-        own = {(y, k, v) for k, v in enumerate(bands(signature(held)[None])[0].tolist())} if len(held) else {(y, -1, 0)}
-        if met.isdisjoint(own):
+        own = bands(signature(held)[None])[0].tolist() if len(held) else []
+        places = [met.setdefault((y, k), set()) for k in (range(len(own)) if own else [-1])]
+        if not any(v in place for v, place in zip(own or [0], places, strict=True)):
             out.append((text, y))
-        met |= own
+        for v, place in zip(own or [0], places, strict=True):
+            place.add(v)
     return out
 
 

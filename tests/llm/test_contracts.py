@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,34 @@ def test_machine_by_plain_gradient_descent():
     assert toxicity.squared_hinge(x, y, cost) == pytest.approx(w, abs=1e-3)
 
 
+def test_machine_is_solved_in_small_parts():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 64))
+    y, cost = np.sign(x[:, 0] + rng.normal(size=len(x))), rng.random(len(x))
+    words = ["".join(rng.choice(list("abcdefgh"), 9)) for _ in range(3000)]
+    marks = toxicity.Landmarks(words[:150])
+    tracemalloc.start()
+    w = toxicity.squared_hinge([x[:7000], x[7000:]], y, cost)
+    solved = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    mapped = marks.mapped(words)
+    made = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert solved < x.nbytes / 2 and made < mapped.nbytes + 25_000_000
+    slack = np.maximum(1 - y * (x @ w), 0)
+    assert np.abs(w - (cost * slack * y) @ x).max() < 1e-5 * np.abs((cost * y) @ x).max()
+    assert mapped[:5] == pytest.approx(marks.mapped(words[:5]))
+
+
+def test_shards_start_no_workers_for_placed_groups(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("a list of rows goes through Python workers")
+
+    d = docs_of(spark, [(i, "a b c" if i < 50 else f"w{i} x", "en", "s") for i in range(100)])
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert shard_documents(d, shards=4).count() == 100
+
+
 def test_texts_without_words_are_never_dropped(spark):
     rows = [(i, "wretch wretch" if i % 2 else "good day") for i in range(8)] + [(90, None), (91, ""), (92, " \n")]
     labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
