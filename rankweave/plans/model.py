@@ -47,15 +47,16 @@ def instance_codes(y: DataFrame, codes: DataFrame) -> DataFrame:
     return sparse.matmul(y, codes.select(F.col("label").alias("i"), F.col("code").alias("j"), F.lit(1.0).alias("v")))
 
 
-def train(p: Problem, mode: str = "full-model", options: training.Options = training.Options(), shallow: bool = False, min_labels: int = 2, nr_splits: int = 2) -> Chain:
+def train(p: Problem, mode: str = "full-model", options: training.Options = training.Options(), shallow: bool = False, min_labels: int = 2, nr_splits: int = 2, written: dict | None = None) -> Chain:
     """A chain from the root to the labels (full model) or to the codes (matcher), or the last layer only (ranker).
 
     ``shallow``: above the codes there is the root only, and the matcher is one layer.
+    ``written``: see ``train_hierarchical``; for a full model.
     """
     bias = p.bias_column()
     least = 0 if shallow else min_labels  # 0: nothing is divided
     if mode == "full-model":
-        return training.train_hierarchical(p.x, p.y, p.codes, bias, options, p.matched, p.scheme, least, nr_splits)
+        return training.train_hierarchical(p.x, p.y, p.codes, bias, options, p.matched, p.scheme, least, nr_splits, written)
     z = instance_codes(p.y, p.codes)
     if mode == "matcher":
         return training.train_hierarchical(p.x, z, None, bias, options, min_labels=least, nr_splits=nr_splits)
@@ -155,13 +156,18 @@ def grid_search(p: Problem, grid: dict[str, list], test: tuple[DataFrame, DataFr
     options, index, search = {f.name for f in fields(training.Options)}, ("depth", "algorithm", "seed"), ("post", "beam")
     if wrong := set(grid) - options - {*index, *search}:
         raise ValueError(f"unknown settings {sorted(wrong)}")
+    written: dict = {}
+    bias_column, tested = p.bias_column(), {}
     for values in product(*grid.values()):
         setting = dict(zip(grid, values, strict=True))
-        own = p
+        own, kept = p, written
         if clustered := {n: v for n, v in setting.items() if n in index}:
-            own = replace(p, codes=training.cut(index_labels(p.y, p.x, **clustered)))
-        chain = train(own, options=replace(training.Options(), **{n: v for n, v in setting.items() if n in options}))
-        found = predict(chain, test[0], p.bias_column(), k=k, **{n: v for n, v in setting.items() if n in search})
+            own, kept = replace(p, codes=training.cut(index_labels(p.y, p.x, **clustered))), {}
+        o = replace(training.Options(), **{n: v for n, v in setting.items() if n in options})
+        chain = train(own, options=o, written=kept)
+        if o.bias not in tested:  # the constant's column as in training; written once, for all layers and settings
+            tested[o.bias] = training.cut(sparse.append_constant(test[0], test[0].select("i").distinct(), bias_column, o.bias) if o.bias > 0 else test[0])
+        found = predict(chain, tested[o.bias], bias_column, 0.0, k=k, **{n: v for n, v in setting.items() if n in search})
         m = ranking.precision_recall(test[1], found, k)
         part = m.select(F.lit(str(setting)).alias("setting"), "k", "precision", "recall")
         out = part if out is None else out.unionByName(part)

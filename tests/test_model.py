@@ -56,3 +56,17 @@ def test_wrong_input(spark, problem):
         model.instance_codes(problem.y, problem.codes.limit(1))
     with pytest.raises(ValueError):
         model.check_ensemble([problem.codes])
+
+
+def test_grid_search_shares_tables_and_keeps_the_bias(spark, monkeypatch):
+    """Labels that only the constant tells apart from none: the rows tested must have the constant of training."""
+    x = spark.createDataFrame([(i, i % 2, 1.0) for i in range(40)], M)
+    y = spark.createDataFrame([(i, i % 2, 1.0) for i in range(40)], M)
+    codes = spark.createDataFrame([(0, 0), (1, 0)], "label long, code long")
+    packed, pack, seen, search = [], training.packed_rows, [], model.ranking.beam_search
+    monkeypatch.setattr(training, "packed_rows", lambda *a: packed.append(1) or pack(*a))
+    monkeypatch.setattr(model.ranking, "beam_search", lambda f, *a: seen.append(f.where("j = 2").agg(F.max("v")).first()[0]) or search(f, *a))
+    grid = {"c_pos": [0.5, 1.0], "bias": [1.0, 3.0]}
+    found = model.grid_search(model.Problem(x, y, codes), grid, (x, y), k=1).collect()
+    assert len(found) == 4 and all(r["precision"] == 1.0 for r in found)
+    assert len(packed) == 2 and seen == [1.0, 3.0, 1.0, 3.0]  # the rows of one constant are packed once
