@@ -376,3 +376,25 @@ def test_optimality_scores_each_pair_once(spark):
     assert found.collect()[0]["ratio"] == pytest.approx(np.abs(g).max() / np.abs(2 * a.T @ sign).max())
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") == 5  # the rows once, features and weights for the scores and for the sums
+
+
+
+def test_blocks_are_packed_once(spark, monkeypatch):
+    """Jobs of the rounds read packed blocks: instances' rows are written only before them."""
+    monkeypatch.setattr(training, "BLOCK_CELLS", 900)
+    written, write = [], training.cut
+    monkeypatch.setattr(training, "cut", lambda df: written.append(df.columns) or write(df))
+    x, sign = labelled_rows(300)
+    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(300) for j in range(5)], M)
+    y = spark.createDataFrame([(i, k, 1.0) for i in range(300) for k in range(2) if sign[i, k] > 0], M)
+    codes = spark.createDataFrame([(0, 0), (1, 0)], "label long, code long")
+    z = cells.select("i").distinct().select("i", F.lit(0).cast("long").alias("j"))
+    training.train_layer(cells, y, codes, z, 5, training.Options(solver=7, eps=1e-2))
+    assert sum("idx" in c for c in written) == 1 and sum("bytes" in c for c in written) == 1
+
+
+
+@pytest.mark.parametrize("flat", [[5, 2, 5, 0], [10**12, 3, 3], [-4, 7, -4], []])
+def test_places_of_numbers(flat):
+    columns, at = training._places(np.array(flat, np.int64))
+    assert columns.tolist() == sorted(set(flat)) and columns[at].tolist() == flat
