@@ -398,3 +398,19 @@ def test_blocks_are_packed_once(spark, monkeypatch):
 def test_places_of_numbers(flat):
     columns, at = training._places(np.array(flat, np.int64))
     assert columns.tolist() == sorted(set(flat)) and columns[at].tolist() == flat
+
+
+
+def test_layers_are_written_once_for_several_options(spark, monkeypatch):
+    x, _ = labelled_rows(60)
+    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(60) for j in range(5)], M)
+    y = spark.createDataFrame([(i, int(2 * (x[i, 0] > 0) + (x[i, 1] > 0)), 1.0) for i in range(60)], M)
+    codes = spark.createDataFrame([(k, k // 2) for k in range(4)], "label long, code long")
+    calls, write, kept = [], training.cut, {}
+    monkeypatch.setattr(training, "cut", lambda df: calls.append(df.columns) or write(df))
+    training.train_hierarchical(cells, y, codes, 5, training.Options(c_pos=0.5), written=kept)
+    first = len(calls)
+    chains = [training.train_hierarchical(cells, y, codes, 5, training.Options(c_pos=2.0), written=k) for k in (kept, {})]
+    assert len(calls) - first - first == 2  # only the two layers' weights with kept tables
+    one, other = ([{(r["label"], r["j"]): r["w"] for r in w.collect()} for w, _ in c] for c in chains)
+    assert one == [pytest.approx(w) for w in other]
