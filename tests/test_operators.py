@@ -412,3 +412,64 @@ def test_layers_are_written_once_for_several_options(spark, monkeypatch):
     assert len(calls) - first - first == 2  # only the two layers' weights with kept tables
     one, other = ([{(r["label"], r["j"]): r["w"] for r in w.collect()} for w, _ in c] for c in chains)
     assert one == [pytest.approx(w) for w in other]
+
+
+@pytest.mark.parametrize("solver", [1, 7])
+def test_rounds_held_by_the_driver_are_those_of_tables(spark, monkeypatch, solver):
+    """Two codes of several blocks, and one label that no row has; held, only blocks and the plan are written."""
+    monkeypatch.setattr(training, "BLOCK_CELLS", 500)
+    x, sign = labelled_rows(300)
+    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(300) for j in range(5)], M)
+    y = spark.createDataFrame([(i, 2 * k + i % 2, 1.0) for i in range(300) for k in range(2) if sign[i, k] > 0], M)
+    codes = spark.createDataFrame([(0, 0), (2, 0), (1, 1), (3, 1), (9, 1)], "label long, code long")
+    z = cells.select("i").distinct().select("i", (F.col("i") % 2).alias("j"))
+    found, writes, write = [], [], training.cut
+    monkeypatch.setattr(training, "cut", lambda df: writes.append(1) or write(df))
+    for held in (200_000, 0):
+        monkeypatch.setattr(training, "HELD", held)
+        writes.append(0)
+        w = training.train_layer(cells, y, codes, z, 5, training.Options(solver=solver, eps=1e-3, threshold=0.0))
+        found.append({(r["label"], r["j"]): r["w"] for r in w.collect()})
+    assert found[0] == pytest.approx(found[1], abs=1e-6) and len(found[0]) == 30
+    assert writes.index(0, 1) == 4  # rows, plan, blocks
+    w = np.array([[found[0][k, j] for k in (0, 2)] for j in range(6)])
+    assert gradient_ratio(w, x[::2], sign[::2], training.Options(solver=solver)) < 1e-4
+
+
+def test_packed_arrays_are_packed_cells(spark):
+    """Null and empty arrays, and one id twice; a null id is no row."""
+    rows = [(3, [1.0, 0.0, 2.0]), (1, None), (4, []), (2, [5.0]), (2, [7.0, 8.0]), (None, [1.0])]
+    m = spark.createDataFrame(rows, "id long, a array<float>")
+    cells = sparse.dense_cells(m.where("id is not null"), "id", "a").withColumn("j", F.col("j").cast("long"))
+    ids = m.where("id is not null").select(F.col("id").alias("i")).distinct()
+    for direct, longer in ((sparse.packed_arrays(m, "id", "a", 64), sparse.append_constant(cells, ids, 64)), (sparse.packed_arrays(m.where("size(a) > 0"), "id", "a"), cells)):
+        got, expected = ({r["i"]: sorted(zip(r["idx"], r["val"], strict=True)) for r in d.collect()} for d in (direct, sparse.packed(longer)))
+        assert got == expected and [t for _, t in direct.dtypes] == [t for _, t in sparse.packed(longer).dtypes]
+
+
+def test_all_rows_are_of_one_code_without_clusters(spark, monkeypatch):
+    x, sign = labelled_rows(200)
+    m = spark.createDataFrame([(i, [float(v) for v in x[i, :5]]) for i in range(200)], "i long, a array<float>")
+    cells = sparse.dense_cells(m, "i", "a")
+    y = spark.createDataFrame([(i, k, 1.0) for i in range(200) for k in range(2) if sign[i, k] > 0], M)
+    codes = spark.createDataFrame([(0, 0), (1, 0)], "label long, code long")
+    z = cells.select("i").distinct().select("i", F.lit(0).cast("long").alias("j"))
+    o, rows = training.Options(solver=7, eps=1e-3, threshold=0.0), sparse.packed_arrays(m, "i", "a", 5)
+    monkeypatch.setattr(training, "packed_rows", None)
+    got = [training.train_layer(cells, y, codes, c, 5, o, rows=rows).collect() for c in (None, z)]
+    one, other = ({(r["label"], r["j"]): r["w"] for r in g} for g in got)
+    assert len(one) == 12 and one == pytest.approx(other, abs=1e-6)
+
+
+def test_blocks_of_a_smooth_loss_are_smaller_where_there_are_several(spark, monkeypatch):
+    monkeypatch.setattr(training, "BLOCK_CELLS", 100)
+    monkeypatch.setattr(training, "SHARE_CELLS", 25)
+    rows = spark.createDataFrame([(i, [0, 1], [1.0, 1.0]) for i in range(90)], "i long, idx array<long>, val array<double>")
+    z = rows.select("i", F.when(F.col("i") < 50, 1).otherwise(F.when(F.col("i") < 51, 2).otherwise(3)).cast("long").alias("j"))
+    codes = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "label long, code long")
+    blocks = {s: {r["code"]: r["blocks"] for r in training.layer_plan(rows, codes, z, training.Options(solver=s)).collect()} for s in (1, 3, 5)}
+    assert blocks == {1: {1: 1, 2: 1, 3: 1}, 3: {1: 1, 2: 1, 3: 1}, 5: {1: 1, 2: 1, 3: 1}}
+    one = training.layer_plan(rows, codes.where("code = 1"), None, training.Options(), 64).collect()
+    assert one == []  # all rows are of code 0, which has no label
+    whole = codes.withColumn("code", F.lit(0).cast("long"))
+    assert [training.layer_plan(rows, whole, None, training.Options(solver=s)).first()["blocks"] for s in (1, 7, 3, 5)] == [8, 8, 2, 1]
