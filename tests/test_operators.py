@@ -1,4 +1,5 @@
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -473,3 +474,25 @@ def test_blocks_of_a_smooth_loss_are_smaller_where_there_are_several(spark, monk
     assert one == []  # all rows are of code 0, which has no label
     whole = codes.withColumn("code", F.lit(0).cast("long"))
     assert [training.layer_plan(rows, whole, None, training.Options(solver=s)).first()["blocks"] for s in (1, 7, 3, 5)] == [8, 8, 2, 1]
+
+
+def test_layers_of_a_chain_are_trained_side_by_side(spark, monkeypatch):
+    """Two layers wait for each other; their weights are those of one after the other, from given rows too."""
+    x, sign = labelled_rows(200)
+    m = spark.createDataFrame([(i, [float(v) for v in x[i, :5]]) for i in range(200)], "i long, a array<float>")
+    cells = sparse.dense_cells(m, "i", "a").withColumn("j", F.col("j").cast("long"))
+    y = spark.createDataFrame([(i, k, 1.0) for i in range(200) for k in range(2) if sign[i, k] > 0], M)
+    codes = spark.createDataFrame([(0, 0), (1, 1)], "label long, code long")
+    o = training.Options(eps=1e-3, threshold=0.0)
+
+    def weights(**more):
+        chain = training.train_hierarchical(cells, y, codes, 5, o, **more)
+        return [{(r["label"], r["j"]): r["w"] for r in w.collect()} for w, _ in chain], [c is None for _, c in chain]
+
+    one, roots = weights()
+    meet, train = threading.Barrier(2), training.train_layer
+    monkeypatch.setattr(training, "packed_rows", None)
+    monkeypatch.setattr(training, "train_layer", lambda *a, **k: meet.wait(60) >= 0 and train(*a, **k))
+    both, again = weights(rows=sparse.packed_arrays(m, "i", "a", 5), side_by_side=2)
+    assert roots == again == [True, False] and [len(w) for w in one] == [12, 12]
+    assert both == [pytest.approx(w, abs=1e-6) for w in one]
