@@ -41,3 +41,13 @@ def test_query_matches_sql(spark, con, name):
 def test_every_sql_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert len(QUERIES) == len(catalog.QUERIES) + len(steps.QUERIES)
+
+
+@pytest.mark.parametrize("name", ["j3_expand_codes", "t2_training_jobs"])
+def test_large_results_match_sql_and_their_columns_are_made_before_them(spark, con, name):
+    df = QUERIES[name](spark, SF)
+    want, columns = con.sql(ORACLE_SQL[name]), ", ".join(df.columns)
+    got = df.toArrow()  # noqa: F841  read by name
+    assert len(got) == len(want) and con.sql(f"SELECT {columns} FROM got EXCEPT ALL SELECT {columns} FROM want").fetchall() == []
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan.split("Join ")[0]

@@ -299,6 +299,19 @@ def test_expanded_codes_are_summed_before_the_labels_come_in(spark):
     assert got.count() == 7 and "Join" in read_first(got)[0]
 
 
+def test_parents_are_finished_before_the_labels_come_in(spark):
+    """As rounded after the join, each of many rows was rounded again; an unnamed label is one, too."""
+    codes = spark.createDataFrame([(0, 0, 0.26), (0, 1, 0.25), (1, 1, 2.04), (2, 9, 1.0)], "i long, code long, v double")
+    of = spark.createDataFrame([(5, 0), (6, 0), (6, 1), (None, 1), (7, None)], "label long, code long")
+    got = ranking.expand_codes(codes, of, lambda v: F.round(v, 1))
+    want = {(0, 5): 0.3, (0, 6): 0.5, (0, None): 0.3, (1, 6): 2.0, (1, None): 2.0}
+    assert {(r["i"], r["label"]): r["parent"] for r in got.collect()} == want and got.count() == 5
+    lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    top = next(k for k, line in enumerate(lines) if "Join " in line)
+    assert any("round(" in line for line in lines[top:]) and not any("round(" in line for line in lines[:top])
+    assert any("explode(_labels" in line for line in lines[:top])
+
+
 def labelled_rows(n, seed=4):
     """Rows of features and a constant, and the signs of two labels that overlap."""
     rng = np.random.default_rng(seed)
