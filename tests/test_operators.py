@@ -312,6 +312,18 @@ def test_parents_are_finished_before_the_labels_come_in(spark):
     assert any("explode(_labels" in line for line in lines[:top])
 
 
+def test_files_of_training_pairs_are_small(spark, tmp_path):
+    """As each instance came with all labels in turn, a file's pages held few of them twice: over a byte a pair."""
+    z = spark.range(800).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("j"))
+    y = z.select("i", ((F.col("i") * 37) % 4001).alias("j"))
+    codes = spark.range(4001).select(F.col("id").alias("label"), F.lit(0).cast("long").alias("code"))
+    training.jobs(y, z, codes).write.parquet(str(tmp_path / "pairs"))
+    got = spark.read.parquet(str(tmp_path / "pairs"))
+    assert {r["sign"]: r["count"] for r in got.groupBy("sign").count().collect()} == {1: 800, -1: 800 * 4000}
+    assert got.distinct().count() == 800 * 4001
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.6 * 800 * 4001
+
+
 def labelled_rows(n, seed=4):
     """Rows of features and a constant, and the signs of two labels that overlap."""
     rng = np.random.default_rng(seed)
